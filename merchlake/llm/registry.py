@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import telephony
+from . import mixing, packing, secrets, telephony
 from .common import table
 
 #: Name of the query: the table that it reads and the function that it applies.
 _OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op1_telephony": ("documents", telephony.op1_telephony),
+    "op2_mixing": ("documents", mixing.op2_mixing),
+    "op5_packing": ("documents", packing.op5_packing),
+    "op8_secrets": ("documents", secrets.op8_secrets),
 }
 
 
@@ -24,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.ORACLE_SQL}
