@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, secrets, telephony
+from . import language, mixing, packing, secrets, telephony
 from .common import table
 
 #: Name of the query: the table that it reads and the function that it applies.
 _OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op1_telephony": ("documents", telephony.op1_telephony),
     "op2_mixing": ("documents", mixing.op2_mixing),
+    "op3_language": ("documents", language.op3_language),
     "op5_packing": ("documents", packing.op5_packing),
     "op8_secrets": ("documents", secrets.op8_secrets),
 }
