@@ -107,26 +107,48 @@ def chunks(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash for each word of the whole text, in order."""
+def hash_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word of the whole texts, in order, and where each text's words begin and end."""
     global _POWERS
-    found = []
-    for data in chunks((text or "").encode("utf-8", "surrogatepass")):
+    parts = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+    begin = np.cumsum([0] + [len(x) + 1 for x in parts])
+    hashes, places, at_byte = [], [], 0
+    for data in chunks(b" ".join(parts)):
         buf = np.frombuffer(data, dtype=np.uint8)
         letter = ~_SEPARATOR[buf]
         edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
-        if not len(starts):
-            continue
-        lengths = ends - starts
-        if (longest := int(lengths.max())) > len(_POWERS):
-            _POWERS = _powers(longest)
-        at = np.flatnonzero(letter)
-        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        within = np.arange(len(at)) - np.repeat(first, lengths)
-        sums = np.add.reduceat(_BYTE[buf[at]] * _POWERS[within], first)
-        found.append(mix64(sums + lengths.astype(np.uint64)))
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+        if len(starts):
+            lengths = ends - starts
+            if (longest := int(lengths.max())) > len(_POWERS):
+                _POWERS = _powers(longest)
+            at = np.flatnonzero(letter)
+            first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            within = np.arange(len(at)) - np.repeat(first, lengths)
+            sums = np.add.reduceat(_BYTE[buf[at]] * _POWERS[within], first)
+            hashes.append(mix64(sums + lengths.astype(np.uint64)))
+            places.append(starts + at_byte)
+        at_byte += len(data)
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), begin)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word of the whole text, in order."""
+    return hash_words([text])[0]
+
+
+def groups_of(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[slice]:
+    """Runs of texts of about `size` characters together, so that numpy works on few, short arrays."""
+    at = 0
+    while at < len(texts):
+        end, total = at, 0
+        while end < len(texts) and (end == at or total + len(texts[end] or "") <= size):
+            total += len(texts[end] or "")
+            end += 1
+        yield slice(at, end)
+        at = end
 
 
 _GRAM = 0xA24BAED4963EE407
