@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, secrets, substring, telephony
+from . import language, minhash, mixing, packing, secrets, substring, telephony
 from .common import table
 
 #: Name of the query: the table that it reads and the function that it applies.
@@ -14,6 +14,7 @@ _OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op1_telephony": ("documents", telephony.op1_telephony),
     "op2_mixing": ("documents", mixing.op2_mixing),
     "op3_language": ("documents", language.op3_language),
+    "op4_near_duplicates": ("documents", minhash.op4_near_duplicates),
     "op5_packing": ("documents", packing.op5_packing),
     "op6_substrings": ("documents", substring.op6_substrings),
     "op8_secrets": ("documents", secrets.op8_secrets),
