@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, packing, secrets, substring, telephony
+from . import language, minhash, mixing, multi_index, packing, secrets, substring, telephony
 from .common import table
 
 #: Name of the query: the table that it reads and the function that it applies.
@@ -17,6 +17,7 @@ _OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op4_near_duplicates": ("documents", minhash.op4_near_duplicates),
     "op5_packing": ("documents", packing.op5_packing),
     "op6_substrings": ("documents", substring.op6_substrings),
+    "op7_embeddings": ("embeddings", multi_index.op7_embeddings),
     "op8_secrets": ("documents", secrets.op8_secrets),
 }
 
