@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, multi_index, packing, secrets, substring, telephony
+from . import html, language, minhash, mixing, multi_index, packing, secrets, substring, telephony, urls
 from .common import table
 
 #: Name of the query: the table that it reads and the function that it applies.
@@ -19,6 +19,8 @@ _OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "op6_substrings": ("documents", substring.op6_substrings),
     "op7_embeddings": ("embeddings", multi_index.op7_embeddings),
     "op8_secrets": ("documents", secrets.op8_secrets),
+    "op9_html": ("pages", html.op9_html),
+    "op10_urls": ("pages", urls.op10_urls),
 }
 
 
