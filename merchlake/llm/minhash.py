@@ -9,9 +9,9 @@ in order of time up to a limit at which all slots are filled, so a document need
 per shingle, not m per shingle.
 
 Equal texts form classes first. Classes that share a band of slots are candidates; the candidates of a bucket are compared
-with its representatives rather than all with each other, and linked where the multiset overlap is at least `THRESHOLD`. Members of a bucket that the links
-leave in separate groups are then compared across groups, so that no candidate pair whose link could change the result
-is left out. Null texts and texts without words are classes of their own; extra columns do not matter; rows that share a doc_id
+with its least member rather than all with each other, and linked where the multiset overlap is at least `THRESHOLD`. Members of a bucket that the links
+leave outside of its largest group are then compared with all members, in blocks, so that no candidate pair whose link could change
+the result is left out. Null texts and texts without words are classes of their own; extra columns do not matter; rows that share a doc_id
 share a class; an empty table gives an empty table.
 """
 
@@ -33,8 +33,8 @@ THRESHOLD = 0.8
 #: Bands of the signature and slots in each: at a similarity of 0.8 a pair shares a band with probability 0.9999.
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
-#: Members of a bucket, drawn by hash, that the others are compared with in the second round.
-PIVOTS = 4
+#: Members of a bucket that meet in one task.
+BLOCK = 512
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +189,69 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("x", "y", "text_x", "text_y").mapInArrow(run, "x bigint, y bigint, overlap double")
 
 
+def _expanded(text: str | None) -> np.ndarray:
+    """A text's shingles as a set: the k-th occurrence of one is an item of its own, so common items are the multiset overlap."""
+    found, n = multiset(text)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(found, n) ^ mix64(within.astype(np.uint64))
+
+
+def _linked_components(query: list[tuple[int, np.ndarray]], base: list[tuple[int, np.ndarray]]) -> set[tuple[int, int]]:
+    """Pairs of components with a link between a query and a base member, given as (component, items)."""
+    items = np.concatenate([x for _, x in base])
+    owner = np.repeat(np.arange(len(base)), [len(x) for _, x in base])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    sizes = np.array([len(x) for _, x in base])
+    component = np.array([c for c, _ in base])
+    out = set()
+    for c, own in query:
+        low, high = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
+        n = high - low
+        hits = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(owner[hits], minlength=len(base))
+        linked = (common >= THRESHOLD * (len(own) + sizes - common)) & (component != c)
+        out.update((c, int(d)) for d in np.unique(component[linked]))
+    return out
+
+
+def _across(at: DataFrame, split: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): components that a pair in one bucket links. Every member outside of the bucket's largest component meets all members,
+    in blocks of bounded size; pairs are compared inside the blocks and never become rows."""
+    rows = at.join(split, "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    base = rows.select("bucket", own("nb", 1).alias("b"), every("nq").alias("q"), F.lit(False).alias("asks"), "id", "component")
+    asks = rows.where("component <> largest").select("bucket", every("nb").alias("b"), own("nq", 2).alias("q"), F.lit(True).alias("asks"), "id", "component")
+    both = base.unionByName(asks).join(texts, "id").select("bucket", "b", "q", "asks", "component", "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: OrderedDict[int, np.ndarray] = OrderedDict()
+        key, query, members, done = None, [], [], set()
+
+        def items(doc: int, text: pa.StringScalar) -> np.ndarray:
+            if doc not in seen:
+                seen[doc] = _expanded(text.as_py())
+                if len(seen) > BLOCK:
+                    seen.popitem(last=False)
+            return seen[doc]
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for bucket, b, q, asking, component, doc, text in zip(*columns, batch.column(6), strict=True):
+                if (bucket, b, q) != key:
+                    if query and members:
+                        done |= _linked_components(query, members)
+                    key, query, members = (bucket, b, q), [], []
+                (query if asking else members).append((component, items(doc, text)))
+        if query and members:
+            done |= _linked_components(query, members)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    dealt = both.repartition("bucket", "b", "q").sortWithinPartitions("bucket", "b", "q", "id")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, kept) for each row: class_id is the least key of the document's class, kept is whether it is that one."""
     named = df.select(F.col(key).cast("long").alias("id"), F.md5(F.encode(text, "UTF-8")).alias("text_key"), F.col(text).alias("text"))
@@ -203,27 +266,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     links = tested.where(F.col("overlap") >= THRESHOLD).select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = components(links)
 
-    # Pairs of a bucket in different components: first with pivots drawn by hash, then all that may still be linked.
-    near = members.join(tested.select(F.col("x").alias("id"), F.col("y").alias("low"), "overlap"), ["id", "low"], "left").select("bucket", "id", F.coalesce("overlap", F.lit(1.0)).alias("to_low"))
-    for last in (False, True):
-        at = near.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        apart = at.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), F.col("id").alias("p"), F.col("component").alias("c"))).alias(f"p{r}") for r in range(PIVOTS))).where("c0 < c1")
-        if last:
-            open_ones = materialize(at.join(apart.select("bucket"), "bucket"), "open")
-            other = open_ones.select("bucket", F.col("id").alias("y"), F.col("component").alias("c"), F.col("to_low").alias("s"))
-            # One minus the overlap is a metric, so texts whose overlaps with a third differ by more than 1 - THRESHOLD are not linked.
-            pairs = open_ones.join(other, "bucket").where((F.col("component") < F.col("c")) & (F.abs(F.col("to_low") - F.col("s")) <= 1 - THRESHOLD + 1e-9)).select(F.least("id", "y").alias("y"), F.greatest("id", "y").alias("x"))
-        else:
-            pivots = at.join(apart, "bucket").select("id", "component", F.explode(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("p"))
-            pairs = pivots.where("component <> p.c").select(F.least("id", "p.p").alias("y"), F.greatest("id", "p.p").alias("x"))
-        fresh = pairs.distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
-        more = materialize(_compared(fresh, texts), "compared")
-        tested = tested.unionByName(more)
-        links = more.where(F.col("overlap") >= THRESHOLD)
-        named_links = links.join(label.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x", "left").join(label.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y", "left")
-        edges = named_links.select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b"))
-        label = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges)
-        label = components(label)
+    # Pairs of a bucket that the links so far leave in different components.
+    at = members.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("n_base"), F.count("*").alias("parts"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    # of a bucket of two, the one pair is among those that were compared
+    split = materialize(largest.where("parts > 1 AND n_base > 2").select("bucket", "largest", blocks(F.col("n_base")).alias("nb"), blocks(F.col("n_base") - F.col("most")).alias("nq")), "split")
+    edges = _across(at, split, texts)
+    label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges))
     found = sketched.select("id", "text_key").join(classes.select("text_key", F.col("one")), "text_key")
     found = found.join(label.select(F.col("node").alias("one"), "component"), "one", "left").select("id", F.coalesce("component", "one").alias("class_id")).groupBy("id").agg(F.min("class_id").alias("class_id"))
     every = df.select(F.col(key)).withColumn("id", F.col(key).cast("long"))
