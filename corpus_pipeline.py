@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.llm import language, minhash, mixing, packing, secrets
-from merchlake.llm.common import materialize, table
+from merchlake.llm.common import forget, materialize, table
 
 #: Documents stay whose language is known with at least this calibrated probability.
 LEAST_SCORE = 0.5
@@ -57,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages between have written is deleted as soon as the next has been."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            forget(before)
     return docs

@@ -38,7 +38,7 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Deletes the files that materialize() wrote for df, once nothing lazily depends on them."""
+    """Deletes the files that materialize() wrote for df; nothing may lazily depend on them any more."""
     spark = df.sparkSession
     root = shared_dir(spark)
     jvm = spark.sparkContext._jvm
