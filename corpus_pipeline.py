@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.llm import language, minhash, mixing, packing, secrets
-from merchlake.llm.common import forget, materialize, table
+from merchlake.llm.common import findable, forget, materialize, table
 
-#: Documents stay whose language is known with at least this calibrated probability.
-LEAST_SCORE = 0.5
+#: Documents stay whose language has at least this calibrated probability: short texts full of numbers and addresses reach little more than
+#: chance and are right all the same.
+LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what the stages between have written is deleted as soon as the next has been."""
+    findable(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")

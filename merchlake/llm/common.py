@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def findable(spark: SparkSession) -> None:
+    """Lets Python workers on the driver's machine import this package wherever the driver was started. A cluster has it installed or
+    gets it with --py-files."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a local one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html, language, minhash, mixing, multi_index, packing, secrets, substring, telephony, urls
-from .common import table
+from .common import findable, table
 
 #: Name of the query: the table that it reads and the function that it applies.
 _OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
@@ -25,7 +25,11 @@ _OPERATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 
 
 def _query(name: str, apply: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: apply(table(spark, sf_dir, name))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        findable(spark)
+        return apply(table(spark, sf_dir, name))
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
