@@ -282,9 +282,9 @@ def covered(texts: list[str | None], found: pa.ListArray) -> list[np.ndarray | N
 
 
 def with_marks(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the column `marks`, null for texts without repeats."""
-    docs = df.select(text_id(text).alias("key"), F.col(text).alias("text"))
-    return df.withColumn("key", text_id(text)).join(marks(docs), "key", "left").drop("key")
+    """df with the column `_marks`, null for texts without repeats."""
+    found = marks(df.select(text_id(text).alias("key"), F.col(text).alias("text"))).select(F.col("key").alias("_text_id"), F.col("marks").alias("_marks"))
+    return df.withColumn("_text_id", text_id(text)).join(found, "_text_id", "left").drop("_text_id")
 
 
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -293,7 +293,7 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     def cut(batch: pa.RecordBatch) -> dict:
         own = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         texts, out = own[text].to_pylist(), []
-        for x, gone in zip(texts, covered(texts, own.pop("marks")), strict=True):
+        for x, gone in zip(texts, covered(texts, own.pop("_marks")), strict=True):
             if gone is not None and gone.any():
                 x = b" ".join(w for w, g in zip(x.encode().split(), gone, strict=True) if not g).decode()
             out.append(x)
@@ -315,4 +315,4 @@ def op6_substrings(documents: DataFrame) -> DataFrame:
         return rows
 
     marked = with_marks(documents.select("doc_id", "text"))
-    return by_batch(marked.select("doc_id", "text", "marks"), digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return by_batch(marked.select("doc_id", "text", "_marks"), digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
