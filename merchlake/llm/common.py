@@ -11,7 +11,6 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: What separates words: the bytes 0x20 and 0x09 to 0x0D; everything else belongs to a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -174,8 +173,3 @@ def gram_hashes(words: np.ndarray, k: int, base: int = _GRAM) -> np.ndarray:
         out *= np.uint64(base)
         out += words[j : j + len(out)]
     return mix64(out)
-
-
-def text_key(column: str = "text") -> F.Column:
-    """A 128-bit hash of a text as a string; null stays null."""
-    return F.md5(F.encode(F.col(column), "UTF-8"))

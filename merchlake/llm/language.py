@@ -12,7 +12,6 @@ without any training document everything is `und`. Extra columns do not matter.
 
 from __future__ import annotations
 
-import unicodedata
 from typing import NamedTuple
 
 import numpy as np
