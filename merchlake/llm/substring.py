@@ -239,7 +239,8 @@ def marks(docs: DataFrame) -> DataFrame:
     """(key, list of (first, owned, segment, mask)): the repeated windows of each text; docs has key and text."""
     occurrences = _occurrences(docs)
     totals = occurrences.groupBy("anchor").agg(F.count("*").alias("total"), F.min("segment").alias("low"), F.max("segment").alias("high"))
-    repeated = totals.where("total > 1").select("anchor", (F.col("low") == F.col("high")).alias("same"))
+    # Written first, so that the join has an exchange of its own on either side and large anchors can be split.
+    repeated = materialize(totals.where("total > 1").select("anchor", (F.col("low") == F.col("high")).alias("same")), "repeated")
     hits = materialize(occurrences.join(repeated, "anchor"), "anchors")
     sure = hits.where("same").select("key", "first", "owned", "segment", F.lit((1 << WINDOW - K + 1) - 1).cast("long").alias("mask"))
     mixed = hits.where("not same")
