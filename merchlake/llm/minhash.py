@@ -256,7 +256,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(key, class_id, kept) for each row: class_id is the least key of the document's class, kept is whether it is that one."""
     named = df.select(F.col(key).cast("long").alias("id"), F.md5(F.encode(text, "UTF-8")).alias("text_key"), F.col(text).alias("text"))
     sketched = materialize(_sketches(named), "sketches")
-    classes = sketched.groupBy("text_key").agg(F.min("id").alias("one"), F.first("bands").alias("bands"))
+    # Written, so that later joins have an exchange of their own on either side and the copies of one text can be split.
+    classes = materialize(sketched.groupBy("text_key").agg(F.min("id").alias("one"), F.first("bands").alias("bands")), "classes")
     buckets = classes.where("one is not null").select(F.col("one").alias("id"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket", "low")
     members = materialize(buckets.join(shared, "bucket").distinct(), "members")
