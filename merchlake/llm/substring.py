@@ -252,6 +252,7 @@ def marks(docs: DataFrame) -> DataFrame:
     across = opened.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
     more = opened.where("at >= 0").join(across, "window").groupBy("anchor", "segment").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("more"))
     masks = matched.join(more, ["anchor", "segment"], "left").select("anchor", "segment", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0).cast("long"))).alias("mask")).where("mask <> 0")
+    masks = materialize(masks, "masks")  # for the same reason: one line may be a large part of all segments
     found = sure.unionByName(mixed.join(masks, ["anchor", "segment"]).select("key", "first", "owned", "segment", "mask"))
     return found.groupBy("key").agg(F.collect_set(F.struct("first", "owned", "segment", "mask")).alias("marks"))
 
