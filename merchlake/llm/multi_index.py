@@ -1,9 +1,12 @@
 """Embedding near-duplicates: an inverted multi-index with multi-sequence traversal, then verification.
 
 Two codebooks, one for each half of the normalised vectors, span a product grid of cells. A vector visits the cells nearest to it,
-in the order of the multi-sequence traversal, and is compared in double precision with all vectors in them. The number of cells is the
-least that finds TARGET of the links within a bounded sample, which also fits the codebooks; every vector is indexed and every
-vector searches. A pair counts once for each side, whichever of the two visits the other's cell.
+in the order of the multi-sequence traversal, and is compared in double precision with all vectors in them. A bounded sample fits
+codebooks of several sizes. Their visits are the least that find TARGET of all the links of a bounded set of queries, by pair and as
+the mean over queries; the queries are compared with every vector of the table, so their links do not thin out as it grows. Where few
+queries have links, made-up ones at the threshold count too. The cheapest size is used; that of one cell is exact, so one always
+reaches the target. Every vector is indexed and every vector searches. A pair counts once for each side, whichever of the two visits
+the other's cell.
 
 Cells with many vectors or visitors are dealt out in blocks, so no task holds more than BLOCK of either; links are counted
 inside the blocks and never emitted as pairs. Vectors that are null, zero, of another length than most, or that hold null or
@@ -26,8 +29,12 @@ from .components import components
 THRESHOLD = 0.9
 #: Vectors that fit the codebooks and the number of cells to visit; vectors per cell, about; most entries of a codebook.
 SAMPLE, PER_CELL, MOST_ENTRIES = 8192, 40, 256
-#: Share of the sample's links that the visited cells must hold, and the fewest and most cells.
+#: Share of the queries' links that the visited cells must hold, and the fewest and most cells.
 TARGET, LEAST_VISITS, MOST_VISITS = 0.999, 3, 512
+#: Queries that measure the visits; those with links that are enough, else so many made-up links; links of a query tried in one block.
+QUERIES, ENOUGH, MADE_UP, TRIED = 2048, 100, 512, 4
+#: What a visit costs besides comparisons, in comparisons.
+VISIT_COST = 300
 #: Vectors and visitors of a cell in one task.
 BLOCK = 2048
 
@@ -67,35 +74,116 @@ class Index(NamedTuple):
         """The nearest cells of each row in order. In the multi-sequence traversal, the cell of the a-th and the b-th nearest
         entries follows the (a + 1)(b + 1) - 1 cells that are no farther, which bounds what can be among the first."""
         visits = min(visits or self.visits, self.size**2)
-        middle = len(self.halves[0][0])
-        parts = [distances(part, book) for part, book in zip((x[:, :middle], x[:, middle:]), self.halves, strict=True)]
+        parts = self._parts(x)
         order = [np.argsort(d, axis=1, kind="stable")[:, :visits] for d in parts]
         near = [np.take_along_axis(d, o, axis=1) for d, o in zip(parts, order, strict=True)]
-        a, b = (i.ravel() for i in np.indices((near[0].shape[1], near[1].shape[1])))
-        may = (a + 1) * (b + 1) <= visits
-        a, b = a[may], b[may]
+        a, b = self._first(visits)
         sums = near[0][:, a] + near[1][:, b]
         first = np.argsort(sums, axis=1, kind="stable")[:, :visits]
         return np.take_along_axis(order[0][:, a] * self.size + order[1][:, b], first, axis=1)
 
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells are nearer to each row than the given one; MOST_VISITS if that is beyond the visits."""
+        parts = self._parts(x)
+        rows = np.arange(len(x))
+        own = parts[0][rows, cells // self.size] + parts[1][rows, cells % self.size]
+        near = [np.sort(d, axis=1)[:, : self.visits] for d in parts]
+        a, b = self._first(self.visits)
+        nearer = (near[0][:, a] + near[1][:, b] < own[:, None]).sum(axis=1)
+        return np.where(nearer < self.visits, nearer, MOST_VISITS)
+
+    def pair_ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each row of x and y, the rank at which one of them visits the other's cell; exact from LEAST_VISITS on."""
+        out = np.zeros(len(x), dtype=np.int64)
+        for at in range(0, len(x), 1024):
+            p, q = x[at : at + 1024], y[at : at + 1024]
+            found = self.ranks(p, self.cells(q, 1)[:, 0])
+            late = np.flatnonzero(found >= LEAST_VISITS)
+            if len(late):
+                found[late] = np.minimum(found[late], self.ranks(q[late], self.cells(p[late], 1)[:, 0]))
+            out[at : at + 1024] = found
+        return out
+
+    def _parts(self, x: np.ndarray) -> list[np.ndarray]:
+        middle = len(self.halves[0][0])
+        return [distances(part, book) for part, book in zip((x[:, :middle], x[:, middle:]), self.halves, strict=True)]
+
+    def _first(self, visits: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (i.ravel() for i in np.indices((min(visits, self.size),) * 2))
+        may = (a + 1) * (b + 1) <= visits
+        return a[may], b[may]
+
 
-def fit(sample: np.ndarray, n: int, threshold: float) -> Index:
-    """Codebooks from a sample of unit vectors, for an index of n vectors, and the visits that reach TARGET."""
+def fit(sample: np.ndarray, n: int) -> list[Index]:
+    """Codebooks from a sample of unit vectors, for an index of n vectors: from about PER_CELL vectors in a cell to one cell."""
     k = int(np.clip(np.sqrt(n / PER_CELL), 1, min(MOST_ENTRIES, len(sample))))
     middle = max(1, sample.shape[1] // 2)
-    halves = (k_means(sample[:, :middle], k, 1), k_means(sample[:, middle:], k, 2))
-    index = Index(halves, min(MOST_VISITS, k * k))
-    ranks = []
-    for at in range(0, len(sample), 512):
-        own = sample[at : at + 512]
-        q, y = np.nonzero(own @ sample.T >= threshold)
-        q, y = q[other := q + at != y], y[other]
-        if len(q):
-            order = index.cells(own)
-            hit = order[q] == index.cells(sample[y], 1)
-            ranks.append(np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_VISITS))
-    needed = int(np.quantile(np.concatenate(ranks), TARGET, method="higher")) + 1 if ranks else LEAST_VISITS
-    return index._replace(visits=int(np.clip(needed, LEAST_VISITS, index.visits)))
+    out = []
+    while k:
+        out.append(Index((k_means(sample[:, :middle], k, 1), k_means(sample[:, middle:], k, 2)), min(MOST_VISITS, k * k)))
+        k //= 2
+    return out
+
+
+def made_up(x: np.ndarray, threshold: float) -> np.ndarray:
+    """For each unit vector, another one at the threshold in a random direction."""
+    off = np.random.default_rng(4).normal(size=x.shape)
+    off -= np.einsum("ij,ij->i", off, x)[:, None] * x
+    norm = np.sqrt(np.einsum("ij,ij->i", off, off))[:, None]
+    return np.where(norm > 1e-9, threshold * x + np.sqrt(1 - threshold**2) * off / np.maximum(norm, 1e-9), x)
+
+
+def measured(fine: DataFrame, indexes: list[Index], threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each index, (query, rank, links) of the queries' links with all vectors."""
+    drawn = fine.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(QUERIES).select("id", "v").toArrow()
+    queries, ids = unit(_vectors(drawn.column(1))), drawn.column(0).to_numpy()
+    shared = fine.sparkSession.sparkContext.broadcast((queries, ids, indexes))
+
+    def search(batch: pa.RecordBatch) -> dict:
+        queries, ids, indexes = shared.value
+        parts = []
+        for at in range(0, batch.num_rows, 1024):
+            x, own = unit(_vectors(batch.column(1).slice(at, 1024))), batch.column(0).slice(at, 1024).to_numpy()
+            q, y = np.nonzero(queries @ x.T >= threshold)
+            q, y = q[other := ids[q] != own[y]], y[other]
+            if not len(q):
+                continue
+            _, first, n = np.unique(q, return_index=True, return_counts=True)
+            tried = np.arange(len(q)) - np.repeat(first, n) < TRIED
+            links = np.repeat(n / np.minimum(n, TRIED), n)[tried]
+            q, y = q[tried], y[tried]
+            parts += [(np.full(len(q), i), q, index.pair_ranks(queries[q], x[y]), links) for i, index in enumerate(indexes)]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 4
+        return {name: c.astype(t) for name, c, t in zip(("i", "q", "rank", "links"), columns, ("i4", "i4", "i4", "f8"), strict=True)}
+
+    found = by_batch(fine.select("id", "v"), search, "i int, q int, rank int, links double").groupBy("i", "q", "rank").agg(F.sum("links").alias("links")).toArrow()
+    i, q, rank, links = (c.to_numpy() for c in found.columns)
+    out = [(q[i == k], rank[i == k], links[i == k]) for k in range(len(indexes))]
+    if len(np.unique(q)) < ENOUGH:
+        x = queries[:MADE_UP]
+        y = made_up(x, threshold)
+        more = np.arange(len(x)) + QUERIES
+        out = [tuple(np.concatenate(c) for c in zip(own, (more, index.pair_ranks(x, y), np.ones(len(x))), strict=True)) for own, index in zip(out, indexes, strict=True)]
+    return out
+
+
+def needed(q: np.ndarray, rank: np.ndarray, links: np.ndarray) -> int:
+    """The visits that find TARGET of the links, by pair and as the mean over queries; more than MOST_VISITS if those do not."""
+    _, at = np.unique(q, return_inverse=True)
+    by_query = links / np.bincount(at, links)[at]
+    shares = [np.bincount(rank, w, MOST_VISITS + 1) for w in (links / links.sum(), by_query / by_query.sum())]
+    return 1 + max(int(np.argmax(np.cumsum(share) >= TARGET - 1e-12)) for share in shares)
+
+
+def choose(indexes: list[Index], found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> Index:
+    """The index that reaches TARGET with the least work."""
+    best = []
+    for index, own in zip(indexes, found, strict=True):
+        visits = max(needed(*own), min(LEAST_VISITS, index.size**2))
+        per_cell = n / index.size**2
+        if visits <= index.visits:
+            best.append((visits * (VISIT_COST * np.ceil(per_cell / BLOCK) + per_cell), -index.size, index._replace(visits=visits)))
+    return min(best, key=lambda x: x[:2])[2]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -140,7 +228,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     out = df.select(key, F.col(key).cast("long").alias("id"))
     if n < 2:
         return out.select(key, F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    shared = spark.sparkContext.broadcast(fit(unit(_vectors(drawn)), n, threshold))
+    indexes = fit(unit(_vectors(drawn)), n)
+    shared = spark.sparkContext.broadcast(choose(indexes, measured(fine, indexes, threshold), n))
 
     def place(batch: pa.RecordBatch) -> dict:
         cells = np.concatenate([shared.value.cells(unit(_vectors(batch.column(1).slice(at, 1024)))) for at in range(0, batch.num_rows, 1024)])

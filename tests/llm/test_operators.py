@@ -331,6 +331,30 @@ def test_embeddings(spark, monkeypatch):
     assert sum(want[i] == got[i].component_id for i in range(600)) >= 590
 
 
+@pytest.mark.parametrize("close, more", [(0.92, 0), (0.945, 300)])
+def test_embeddings_of_thin_links(spark, monkeypatch, close, more):
+    """Pairs of which the sample holds next to none, in many cells, also beside a large group."""
+    rng = np.random.default_rng(11)
+    x = multi_index.unit(rng.normal(size=(2000, 32)))
+    off = rng.normal(size=x.shape)
+    off = multi_index.unit(off - (off * x).sum(axis=1)[:, None] * x)
+    group = multi_index.unit(rng.normal(size=(1, 32)) + 0.01 * rng.normal(size=(more, 32))) if more else np.zeros((0, 32))
+    both = np.concatenate((x, close * x + np.sqrt(1 - close**2) * off, group))
+    monkeypatch.setattr(multi_index, "SAMPLE", 128)
+    monkeypatch.setattr(multi_index, "PER_CELL", 2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id bigint, embedding array<double>")
+    got = multi_index.near_vectors(df).where("vec_id < 4000").toPandas()
+    assert (got.n_links > 0).sum() >= 0.97 * 4000
+
+
+def test_one_cell_is_exact():
+    x = np.random.default_rng(12).normal(size=(300, 8))
+    last = multi_index.fit(multi_index.unit(x), 10**9)[-1]
+    assert last.size == last.visits == 1 and multi_index.needed(*(np.array(c) for c in ([0, 1], [0, 0], [1.0, 1.0]))) == 1
+    missed = tuple(np.array(c) for c in ([0, 1], [0, multi_index.MOST_VISITS], [1000.0, 1.0]))  # a large group does not decide alone
+    assert multi_index.needed(*missed) > multi_index.MOST_VISITS
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(7)
     index = multi_index.Index((rng.normal(size=(9, 4)), rng.normal(size=(9, 4))), 81)
