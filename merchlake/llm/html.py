@@ -5,6 +5,7 @@ its template, and such subtrees are deleted. What remains is read from the page'
 else an element named like one, else the body), without elements that are never main text by their tag, role or class names. Subtrees of an explicit article
 are not counted: a passage that many articles of a host share is still their text.
 
+Pages of a host that have the same text before templates are deleted count as one, so copies of a page do not make it a template.
 Counts go by (host, hash) with partial sums, and a page's template hashes come back in a join on the page, so a host with a third of
 all pages is spread over all tasks. Null html is empty and gives an empty text; a page without `://` in its url belongs to the empty host;
 equal rows give equal rows; an empty table gives an empty table; extra columns do not matter.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import by_batch
 from .urls import host_of
 
-#: A subtree is template if it occurs on so many pages of a host and on this share of them.
+#: A subtree is template if it occurs on so many pages of a host and on this share of them; pages with the same text count once.
 MIN_PAGES, MIN_SHARE = 5, 0.1
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.DOTALL)
@@ -234,14 +235,16 @@ def template_hashes(pages: DataFrame) -> DataFrame:
         for key, host, page in zip(*(batch.column(i) for i in range(3)), strict=True):
             root = parse(page.as_py() or "")
             chosen, explicit = article(root)
-            rows += [(key.as_py(), host.as_py(), h) for h in set(hash_subtrees(root, chosen if explicit else None))]
+            content = xxhash.xxh64_intdigest(" ".join(blocks(chosen or root)).encode("utf-8", "surrogatepass")) - (1 << 63)
+            # the hash 0 stands for the page
+            rows += [(key.as_py(), host.as_py(), content, h) for h in {0, *hash_subtrees(root, chosen if explicit else None)}]
         return rows
 
     # (host, hash) as one number: the count of a host's pages goes by the number of the host itself
-    seen = by_batch(pages.select("key", F.xxhash64("host").alias("host"), "html"), find, "key bigint, host bigint, hash bigint")
-    hosts = pages.groupBy(F.xxhash64("host").alias("host")).agg(F.count("*").alias("pages"))
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    templates = counts.join(hosts, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "hash")
+    seen = by_batch(pages.select("key", F.xxhash64("host").alias("host"), "html"), find, "key bigint, host bigint, content bigint, hash bigint")
+    counts = seen.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    hosts = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
+    templates = counts.where((F.col("hash") != 0) & (F.col("n") >= MIN_PAGES)).join(hosts, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "hash")
     return seen.join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
 
 

@@ -417,6 +417,17 @@ def test_html_templates(spark):
     assert all(got[200 + i].text == "shared passage" for i in range(9))  # what articles share is their text
 
 
+def texts_of(spark, pages):
+    return {r.page_id: r.text for r in html.op9_html(spark.createDataFrame([(*p, "h", 1, "s") for p in pages], PAGES)).collect()}
+
+
+def test_html_copies_are_no_template(spark):
+    copy = "<html><body><div><div>one story of its own</div></div></body></html>"
+    pages = [(i, f"http://h.example/?print={i}", copy) for i in range(8)] + [(8 + i, f"http://h.example/{i}", f"<body><div>Menu of all</div><div>story {i}</div></body>") for i in range(12)]
+    got = texts_of(spark, pages + [(20, "http://h.example/0", None)])
+    assert all(got[i] == "one story of its own" for i in range(8)) and all(got[8 + i] == f"story {i}" for i in range(12)) and got[20] == ""
+
+
 def test_urls(spark):
     data = [None, "nonsense", "http://", "HTTP://A.Example.COM/en/7?x#y", "http://example.com/en/7", "http://badexample.com/en/7", "http://example.net/de/8", "http://x.example.net/de/9", "http://a.org/es/1", "http://org/es/", "http://É.com/en/", "x://y://z/en/", "http://h.org/fr/"]
     data += [f"http://s{i}.example.net/de/{i}" for i in range(20)] + [f"http://spam{i}.com/en/{i}" for i in range(20)]
