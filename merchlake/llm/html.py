@@ -1,9 +1,12 @@
 """Main text of HTML pages: templates are found by hashing element subtrees and counting them per host.
 
-Every element's subtree outside the article is hashed over its tag, class and content. Hashes that occur on many pages of one host are
-its template, and such subtrees are deleted. What remains is read from the page's article (the longest `article`, else `main`,
-else an element named like one, else the body), without elements that are never main text by their tag, role or class names. Subtrees of an explicit article
-are not counted: a passage that many articles of a host share is still their text.
+A page's text is read from its article (the longest `article`, else `main`, else an element named like one, else the body), without
+elements that are never main text by their tag, role or class names. Every other element's subtree in there is hashed over its tag,
+class and content. Hashes that occur on many pages of one host are its template, and such subtrees are deleted.
+
+In an explicit article (`article` or `main`), only containers (COUNTED) are counted: a paragraph, heading, quotation, list item or
+inline element that many articles of a host share is still their text. So is a container that holds half of the article or more,
+on the average of the pages that have it: that is the article's own body, shared by its near copies.
 
 Pages of a host that have the same text before templates are deleted count as one, so copies of a page do not make it a template.
 Counts go by (host, hash) with partial sums, and a page's template hashes come back in a join on the page, so a host with a third of
@@ -27,6 +30,8 @@ from .urls import host_of
 
 #: A subtree is template if it occurs on so many pages of a host and on this share of them; pages with the same text count once.
 MIN_PAGES, MIN_SHARE = 5, 0.1
+#: A container that holds this share of explicit articles on average is their body.
+BODY_SHARE = 0.5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -38,6 +43,8 @@ _BLOCK = frozenset(
     " header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
 )
 _ENDS_P = _BLOCK - frozenset("br body html caption dd dt legend tbody td tfoot th thead tr li".split())
+#: Elements of an explicit article that can be template.
+COUNTED = frozenset("address center details dir div dl fieldset figure menu ol section table ul".split())
 #: Elements whose start ends an open one of the given kinds, up to the given boundary.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -132,26 +139,35 @@ def never(node: Node) -> bool:
     return node.tag in _NEVER or bool(node.names[2]) or node.names[1] in _NEVER_ROLES or not _NEVER_NAMES.isdisjoint(_NAME.findall(node.names[0]))
 
 
-def hash_subtrees(root: Node, skip: Node | None) -> list[int]:
-    """Sets the hash of each element below root, but not of `skip`, what it holds or what holds it; returns the hashes."""
-    found: list[int] = []
-    todo: list[tuple[Node, bool]] = [(root, False)]
+def hash_subtrees(top: Node, explicit: bool) -> dict[int, float]:
+    """Sets the hash of each element below top that can be template; returns each hash and, in an explicit article, the share of
+    the text that it holds. What is never main text has no part in the hashes around it."""
+    found: dict[int, float] = {}
+    lengths: dict[Node, int] = {}
+    todo: list[tuple[Node, bool]] = [(top, False)]
     while todo:
         node, done = todo.pop()
-        if node is skip:
-            continue
         if not done:
             todo.append((node, True))
-            todo += [(c, False) for c in node.children if isinstance(c, Node)]
+            todo += [(c, False) for c in node.children if isinstance(c, Node) and not never(c)]
             continue
-        parts = [node.tag, node.names[0]]
-        holds = False
+        parts, length = [node.tag, node.names[0]], 0
         for c in node.children:
-            holds |= isinstance(c, Node) and (c is skip or c.hash == 0)
-            parts.append(" ".join(c.split()) if isinstance(c, str) else str(c.hash))
-        if not holds and node is not root:
+            if isinstance(c, str):
+                parts.append(" ".join(c.split()))
+                length += len(parts[-1])
+            elif c in lengths:
+                parts.append(str(c.hash))
+                length += lengths[c]
+        lengths[node] = length
+        if node is not top:
             node.hash = xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63) or 1
-            found.append(node.hash)
+    total = max(1, lengths[top])
+    for node, length in lengths.items():
+        if node is top or explicit and node.tag not in COUNTED:
+            node.hash = 0
+        else:
+            found[node.hash] = length / total if explicit else 0.0
     return found
 
 
@@ -169,7 +185,7 @@ def size(node: Node) -> int:
 
 def article(root: Node) -> tuple[Node | None, bool]:
     """The longest article outside of what is never main text, else such a main element, else an element named like one, else None;
-    and whether it is explicit, so that what pages share inside it is no template."""
+    and whether it is explicit, so that only containers in it can be template."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
     todo = [root]
     while todo:
@@ -223,7 +239,7 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     root = parse(page or "")
     chosen, explicit = article(root)
     if templates:
-        hash_subtrees(root, chosen if explicit else None)
+        hash_subtrees(chosen or root, explicit)
     return " ".join(blocks(chosen or root, templates))
 
 
@@ -237,14 +253,15 @@ def template_hashes(pages: DataFrame) -> DataFrame:
             chosen, explicit = article(root)
             content = xxhash.xxh64_intdigest(" ".join(blocks(chosen or root)).encode("utf-8", "surrogatepass")) - (1 << 63)
             # the hash 0 stands for the page
-            rows += [(key.as_py(), host.as_py(), content, h) for h in {0, *hash_subtrees(root, chosen if explicit else None)}]
+            rows += [(key.as_py(), host.as_py(), content, h, share) for h, share in ({0: 0.0} | hash_subtrees(chosen or root, explicit)).items()]
         return rows
 
     # (host, hash) as one number: the count of a host's pages goes by the number of the host itself
-    seen = by_batch(pages.select("key", F.xxhash64("host").alias("host"), "html"), find, "key bigint, host bigint, content bigint, hash bigint")
-    counts = seen.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    seen = by_batch(pages.select("key", F.xxhash64("host").alias("host"), "html"), find, "key bigint, host bigint, content bigint, hash bigint, share double")
+    distinct = seen.groupBy("host", "hash", "content").agg(F.max("share").alias("share"))
+    counts = distinct.groupBy("host", "hash").agg(F.count("*").alias("n"), F.avg("share").alias("share"))
     hosts = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    templates = counts.where((F.col("hash") != 0) & (F.col("n") >= MIN_PAGES)).join(hosts, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "hash")
+    templates = counts.where((F.col("hash") != 0) & (F.col("n") >= MIN_PAGES) & (F.col("share") < BODY_SHARE)).join(hosts, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "hash")
     return seen.join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
 
 

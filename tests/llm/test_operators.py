@@ -428,6 +428,18 @@ def test_html_copies_are_no_template(spark):
     assert all(got[i] == "one story of its own" for i in range(8)) and all(got[8 + i] == f"story {i}" for i in range(12)) and got[20] == ""
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_templates_in_articles(spark, tag):
+    box = "<div class=x1><p>Read more of our stories</p><p>Every day</p></div>"
+    inner = lambda i: f"<h1>Title {i}</h1><div class=body><p>story {i} {'word ' * i}</p><p>shared passage</p>{box}</div><p>shared <b>end</b></p>"
+    pages = [(i, f"http://h.example/{i}", f"<nav>n{i}</nav><{tag}>{inner(i)}</{tag}><div>out</div>") for i in range(12)]
+    body = "<div><p>" + "one long story that its near copies share " * 5 + "</p></div>"
+    pages += [(20 + i, f"http://copy.example/{i}", f"<{tag}>{body}<p>seen {i} times</p></{tag}>") for i in range(9)]
+    got = texts_of(spark, pages)
+    assert all(got[i] == " ".join(f"Title {i} story {i} {'word ' * i} shared passage shared end".split()) for i in range(12))
+    assert all(got[20 + i].startswith("one long story") and got[20 + i].endswith(f"seen {i} times") for i in range(9))
+
+
 def test_urls(spark):
     data = [None, "nonsense", "http://", "HTTP://A.Example.COM/en/7?x#y", "http://example.com/en/7", "http://badexample.com/en/7", "http://example.net/de/8", "http://x.example.net/de/9", "http://a.org/es/1", "http://org/es/", "http://É.com/en/", "x://y://z/en/", "http://h.org/fr/"]
     data += [f"http://s{i}.example.net/de/{i}" for i in range(20)] + [f"http://spam{i}.com/en/{i}" for i in range(20)]
