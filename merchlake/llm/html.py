@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import by_batch
 from .urls import host_of
 
-#: A subtree is template if it occurs on so many pages of a host and on this share of them; pages with the same text count once.
-MIN_PAGES, MIN_SHARE = 5, 0.1
+#: A subtree is template if it occurs on so many pages of a host and on this share of them, or on SURE_PAGES, however large the host is;
+#: pages with the same text count once.
+MIN_PAGES, MIN_SHARE, SURE_PAGES = 5, 0.1, 50
 #: A container that holds this share of explicit articles on average is their body.
 BODY_SHARE = 0.5
 
@@ -261,7 +262,7 @@ def template_hashes(pages: DataFrame) -> DataFrame:
     distinct = seen.groupBy("host", "hash", "content").agg(F.max("share").alias("share"))
     counts = distinct.groupBy("host", "hash").agg(F.count("*").alias("n"), F.avg("share").alias("share"))
     hosts = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    templates = counts.where((F.col("hash") != 0) & (F.col("n") >= MIN_PAGES) & (F.col("share") < BODY_SHARE)).join(hosts, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "hash")
+    templates = counts.where((F.col("hash") != 0) & (F.col("n") >= MIN_PAGES) & (F.col("share") < BODY_SHARE)).join(hosts, "host").where(F.col("n") >= F.least(MIN_SHARE * F.col("pages"), F.lit(SURE_PAGES))).select("host", "hash")
     return seen.join(templates, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
 
 

@@ -440,6 +440,12 @@ def test_html_templates_in_articles(spark, tag):
     assert all(got[20 + i].startswith("one long story") and got[20 + i].endswith(f"seen {i} times") for i in range(9))
 
 
+def test_html_section_of_a_large_host(spark):
+    pages = [(i, f"http://large.example/{i}", f"<body>{'<div>Menu of a section</div>' if i < 60 else ''}<div>story {i}</div></body>") for i in range(1500)]
+    got = texts_of(spark, pages)
+    assert all(got[i] == f"story {i}" for i in range(1500))
+
+
 def test_urls(spark):
     data = [None, "nonsense", "http://", "HTTP://A.Example.COM/en/7?x#y", "http://example.com/en/7", "http://badexample.com/en/7", "http://example.net/de/8", "http://x.example.net/de/9", "http://a.org/es/1", "http://org/es/", "http://É.com/en/", "x://y://z/en/", "http://h.org/fr/"]
     data += [f"http://s{i}.example.net/de/{i}" for i in range(20)] + [f"http://spam{i}.com/en/{i}" for i in range(20)]
