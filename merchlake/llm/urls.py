@@ -5,8 +5,10 @@ from the longest context that was seen down to single characters (Witten-Bell).
 in `judge` these are the URLs that a rule decides. The log-likelihood difference per character is calibrated on held-out URLs by a
 logistic curve, and URLs with a probability of one half or more are allowed.
 
-Training uses at most about TRAINED URLs of each class, drawn by hash, so the broadcast models are bounded. With one class or none
-to learn from, URLs without a rule are allowed with a score of 0.5. Null URLs and those without `://` have an empty host and path;
+Both models count all distinct URLs (host and path) of their class, but for at most HELD_OUT, which calibrate. The counts stay in
+Spark: a model is the table of its runs of ORDER + 1 characters, as shorter contexts are sums over it, and each run that a URL without
+a rule holds gets its log-likelihood difference by joins. The COMMON runs that occur most are broadcast, and the others are joined, so
+no result depends on COMMON. Differences are summed in fixed point, so in any order. With one class or none to learn from, URLs without a rule are allowed with a score of 0.5. Null URLs and those without `://` have an empty host and path;
 repeated rows are judged alike; an empty table gives an empty table; extra columns do not matter.
 """
 
@@ -21,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, materialize
 
 ORDER = 4
-TRAINED = 10_000
+#: Most URLs of a class that calibrate: every fifth, and no more than these. Runs of characters whose difference is broadcast.
+HELD_OUT, COMMON = 2000, 1 << 16
+#: Parts of a unit in sums of log-likelihood differences.
+PARTS = float(1 << 32)
 #: Characters in all, for the uniform distribution below the shortest context.
 ALPHABET = 256
 
@@ -96,6 +101,8 @@ class MarkovModel:
 
 
 class Judge(NamedTuple):
+    """Both models in memory, for few URLs; `judge` counts the same in Spark."""
+
     accepted: MarkovModel
     rejected: MarkovModel
     slope: float
@@ -134,33 +141,117 @@ def fit(accepted: list[str], rejected: list[str]) -> Judge | None:
     return judge._replace(slope=slope, shift=shift)
 
 
-def labelled(named: DataFrame, verdict: str) -> list[str]:
-    """About TRAINED distinct URLs (host and path) that rules give this verdict, by hash."""
-    own = named.where(F.col("fit.verdict") == verdict).select(F.concat("host", "path").alias("u")).distinct()
-    return sorted(r.u for r in own.orderBy(F.xxhash64("u"), "u").limit(TRAINED).collect())
+def runs(text: str) -> list[str]:
+    """The characters of a text and its end, each after its context of ORDER characters."""
+    padded = "\x02" * ORDER + text + "\x03"
+    return [padded[i : i + ORDER + 1] for i in range(len(text) + 1)]
+
+
+def differences(urls: DataFrame) -> DataFrame:
+    """(run, difference, n): of each run in the URLs that are asked for, how often it occurs there and how much likelier it is by the
+    model of the URLs with own = 1 than by that of own = 0; urls has u, own and asked."""
+
+    def count(batch: pa.RecordBatch) -> list:
+        found: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+        for u, own, asked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            at = [0] * (own == 1) + [1] * (own == 0) + [2] * asked
+            for run in runs(u):
+                for k in at:
+                    found[run][k] += 1
+        return [(run, *n) for run, n in found.items()]
+
+    sums = lambda df, *by: df.groupBy(*by).agg(*(F.sum(n).alias(n) for n in ("a", "r", "n")))
+    longest = materialize(sums(by_batch(urls.select("u", "own", "asked"), count, "run string, a bigint, r bigint, n bigint"), "run"), "runs")
+    levels = [longest]
+    for k in range(ORDER, 0, -1):
+        levels.insert(0, sums(levels[0].withColumn("run", F.substring("run", 2, k)), "run"))
+    shorter = None
+    for k, level in enumerate(levels):
+        level = level.withColumn("context", F.substring("run", 1, k)).withColumn("tail", F.substring("run", 2, k))
+        kinds = [f(F.col(n)).alias(f"{name}_{n}") for n in ("a", "r") for f, name in ((F.sum, "all"), (lambda c: F.count_if(c > 0), "kinds"))]
+        level = level.join(level.groupBy("context").agg(*kinds), "context").where("n > 0")
+        if shorter is None:
+            level = level.withColumns({"p_a": F.lit(1.0 / ALPHABET), "p_r": F.lit(1.0 / ALPHABET)})
+        else:
+            level = level.join(shorter.withColumnRenamed("run", "tail"), "tail")
+        mixed = lambda m: F.when(F.col(f"all_{m}") == 0, F.col(f"p_{m}")).otherwise((F.col(m) + F.col(f"kinds_{m}") * F.col(f"p_{m}")) / (F.col(f"all_{m}") + F.col(f"kinds_{m}")))
+        shorter = level.select("run", mixed("a").alias("p_a"), mixed("r").alias("p_r"), *(["n"] if k == ORDER else []))
+    return shorter.select("run", F.round((F.log("p_a") - F.log("p_r")) * PARTS).cast("bigint").alias("difference"), "n")
+
+
+def rarely(urls: DataFrame, table: DataFrame, common: dict[str, int]) -> DataFrame:
+    """(u, rare): the sum of the differences that are not common, of each distinct URL that has such."""
+
+    def left(batch: pa.RecordBatch) -> list:
+        return [(u, run) for u in batch.column(0).to_pylist() for run in runs(u) if run not in shared.value]
+
+    shared = urls.sparkSession.sparkContext.broadcast(common)
+    rest = by_batch(urls.select("u"), left, "u string, run string")
+    return rest.join(table.select("run", "difference"), "run").groupBy("u").agg(F.sum("difference").alias("rare"))
+
+
+def ratio(u: str, rare: int | None, common: dict[str, int]) -> float:
+    """The log-likelihood difference per character."""
+    return (sum(common.get(run, 0) for run in runs(u)) + (rare or 0)) / PARTS / (len(u) + 1)
+
+
+class Learned(NamedTuple):
+    common: dict[str, int]
+    slope: float
+    shift: float
+
+    def score(self, u: str, rare: int | None) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * ratio(u, rare, self.common) + self.shift, -500, 500))))
+
+
+def learn(named: DataFrame) -> tuple[Learned, DataFrame] | None:
+    """What scores the URLs that no rule decides, and the differences that are not common to all tasks; named has u and fit."""
+    urls = materialize(named.select("u", F.col("fit.verdict").alias("verdict")).distinct(), "urls")
+    sizes = dict(urls.where("verdict IS NOT NULL").groupBy("verdict").count().collect())
+    if len(sizes) < 2:
+        return None
+    own, held, y = F.lit(None).cast("int"), F.lit(False), F.col("verdict") == "allow"
+    for verdict, n in sizes.items():
+        mine = F.col("verdict") == verdict
+        if n > 5:
+            drawn = urls.where(mine).select(F.xxhash64("u").alias("h")).orderBy("h").limit(min(HELD_OUT, n // 5)).collect()
+            out = F.xxhash64("u") <= drawn[-1].h
+        else:  # too few to keep any out
+            out = F.lit(None).cast("boolean")
+        own = F.when(mine & ~F.coalesce(out, F.lit(False)), y.cast("int")).otherwise(own)
+        held = held | (mine & F.coalesce(out, F.lit(True)))
+    each = urls.select("u", own.alias("own"), held.alias("held"), (held | F.col("verdict").isNull()).alias("asked"), y.alias("y"))
+    table = materialize(differences(each), "differences")
+    common = {r.run: r.difference for r in table.orderBy(F.desc("n"), "run").limit(COMMON).collect()}
+    rare = materialize(rarely(each.where("asked"), table, common), "rare")
+    known = sorted((r.u, r.y, r.rare) for r in each.where("held").select("u", "y").join(rare, "u", "left").collect())
+    slope, shift = calibrate(np.array([ratio(u, x, common) for u, _, x in known]), np.array([int(y) for _, y, _ in known]))
+    return Learned(common, slope, shift), rare
 
 
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:
     """df with host, path, rule, verdict and score (null where a rule decides)."""
     own = ("host", "path", "rule", "verdict", "score")
     plain = df.select(*(c for c in df.columns if c not in own))
-    named = plain.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("fit", rule_of(rules))
-    model = fit(labelled(named, "allow"), labelled(named, "block"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    flat = named.select(*plain.columns, "host", "path", F.col("fit.name").alias("rule"), F.col("fit.verdict").alias("verdict"))
+    named = plain.select(F.struct(*plain.columns).alias("row"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("fit", rule_of(rules)).withColumn("u", F.concat("host", "path"))
+    learned = learn(named)
+    shared = df.sparkSession.sparkContext.broadcast(learned and learned[0])
+    scored = named.join(learned[1], "u", "left") if learned else named.withColumn("rare", F.lit(None).cast("bigint"))
+    flat = scored.select("row", "host", "path", F.col("fit.name").alias("rule"), F.col("fit.verdict").alias("verdict"), "rare")
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         verdicts, scores = out["verdict"].to_pylist(), []
-        for i, (host, path) in enumerate(zip(out["host"].to_pylist(), out["path"].to_pylist(), strict=True)):
+        for i, (host, path, rare) in enumerate(zip(*(out[n].to_pylist() for n in ("host", "path", "rare")), strict=True)):
             score = None
             if verdicts[i] is None:
-                score = shared.value.score(host + path) if shared.value else 0.5
+                score = shared.value.score(host + path, rare) if shared.value else 0.5
                 verdicts[i] = "allow" if score >= 0.5 else "block"
             scores.append(score)
         return out | {"verdict": verdicts, "score": scores}
 
-    return by_batch(flat, run, ", ".join(f"`{n}` {t}" for n, t in flat.dtypes) + ", score double")
+    done = by_batch(flat, run, ", ".join(f"`{n}` {t}" for n, t in flat.dtypes if n != "rare") + ", score double")
+    return done.select(*(F.col(f"row.`{c}`").alias(c) for c in plain.columns), *own)
 
 
 def op10_urls(pages: DataFrame) -> DataFrame:

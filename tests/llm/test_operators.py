@@ -460,6 +460,22 @@ def test_urls(spark):
     assert got[3].rule == "example.com/en/7" and got[5].rule == "com/en/"
 
 
+@pytest.mark.parametrize("common", [0, 40, 1 << 16])
+def test_urls_learn_from_all(spark, monkeypatch, common):
+    for name, value in (("TRAINED", 20), ("HELD_OUT", 20), ("COMMON", common)):
+        monkeypatch.setattr(urls, name, value, raising=False)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randrange(1, 7)))
+    data = [f"http://{word()}.{host}/{word()}{i}" for i in range(300) for host in ("good.example.net/de", "spam.com/en", "unknown.info/fr")]
+    got = {r.u: r for r in urls.judge(spark.createDataFrame([(u,) for u in data], "url string")).selectExpr("concat(host, path) u", "*", "xxhash64(concat(host, path)) h").collect()}
+    ruled = [sorted((r for r in got.values() if r.rule == rule), key=lambda r: r.h) for rule in ("net/de/", "com/en/")]
+    a, r = (urls.MarkovModel([x.u for x in own[20:]]) for own in ruled)
+    plain = urls.Judge(a, r, 1.0, 0.0)
+    slope, shift = urls.calibrate(np.array([plain.ratio(u) for u in sorted(x.u for own in ruled for x in own[:20])]), np.array([int(got[u].verdict == "allow") for u in sorted(x.u for own in ruled for x in own[:20])]))
+    asked = [x for x in got.values() if x.rule is None]
+    assert len(asked) == 300 and all(abs(x.score - urls.Judge(a, r, slope, shift).score(x.u)) < 1e-6 for x in asked)
+
+
 def test_url_models():
     model = urls.MarkovModel(["abab", "abba"])
     total = sum(np.exp(model.log_likelihood("a" + c)) for c in map(chr, range(3, 259)))
