@@ -284,10 +284,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, the one with the least key; rows without a key stay."""
-    kept = near_duplicates(df, key, text).where("kept").select(F.col(key).alias("_kept")).distinct()
-    named = df.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi")
-    return named.dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+    """One document of each class of texts, the one with the least key; rows without a key stay. Different texts with one key are
+    documents of their own."""
+    named = df.where(F.col(key).isNotNull()).withColumn("_tag", F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("")))
+    number = F.xxhash64(key, "_tag").alias("_number")
+    classes = near_duplicates(named.select(number, text), "_number", text).select("_number", "class_id").distinct()
+    rows = named.select(number, key, "_tag").distinct().join(classes, "_number")
+    kept = rows.groupBy("class_id").agg(F.min(F.struct(key, "_tag")).alias("least")).select(f"least.{key}", "least._tag")
+    once = named.join(kept, [key, "_tag"], "left_semi").dropDuplicates([key, "_tag"])
+    return once.select(*df.columns).unionByName(df.where(F.col(key).isNull()))
 
 
 def op4_near_duplicates(documents: DataFrame) -> DataFrame:

@@ -193,6 +193,15 @@ def test_near_duplicates(docs, rows):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
 
 
+def test_deduplicate_texts_of_one_id(spark):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a, "x"), (2, b, "y"), (2, a, "y"), (2, b, "y"), (3, c, "z"), (3, c + " end", "z"), (4, None, "n"), (4, a + " more", "n"), (None, a, "o")]
+    got = minhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    texts = Counter((r.doc_id, r.text) for r in got)
+    assert texts[1, a] == texts[2, b] == texts[4, None] == texts[None, a] == 1 and texts[3, c] + texts[3, c + " end"] == 1 and len(got) == 5
+
+
 def test_near_duplicate_family(spark, monkeypatch):
     """A family around one text whose members are often less alike than the threshold, in blocks far smaller than it."""
     rng = random.Random(5)
