@@ -10,7 +10,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What separates words: the bytes 0x20 and 0x09 to 0x0D; everything else belongs to a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -34,8 +35,11 @@ def findable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where the session names none."""
+    """The folder that the driver and all executors see. Only a local session may do without one: elsewhere every machine has its own
+    temporary folder, and later reads would miss files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or tempfile.gettempdir() + "/merchlake").rstrip("/")
 
 
@@ -44,18 +48,28 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files that materialize() wrote for df; nothing may lazily depend on them any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.removeprefix("file:").lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*frames: DataFrame) -> None:
+    """Deletes the folders of tables that materialize() returned; nothing may lazily depend on them any more."""
+    for df in frames:
+        if written := df.__dict__.get("_written"):
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """All of df's columns in one called `row`, so that none clashes with the operator's own, and any others."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *more)
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: Column | str) -> DataFrame:
+    """The named columns of `row` again, and any others."""
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in columns), *more)
 
 
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], list | dict], schema: str) -> DataFrame:

@@ -25,6 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label = materialize(nodes.withColumn("component", F.col("node")), "labels")
     for _ in range(MOST_ROUNDS):
         if live.isEmpty():
+            forget(live)
             return label
         # the least neighbour of every root
         both = live.select(F.explode(F.array(F.struct(F.col("hi").alias("x"), F.col("lo").alias("y")), F.struct(F.col("lo").alias("x"), F.col("hi").alias("y")))).alias("e"))
@@ -35,20 +36,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = materialize(label.join(root, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
         moved = live.join(jumps.select(F.col("x").alias("hi"), F.col("parent").alias("p")), "hi").join(jumps.select(F.col("x").alias("lo"), F.col("parent").alias("q")), "lo")
         live = materialize(moved.where("p <> q").select(F.least("p", "q").alias("hi"), F.greatest("p", "q").alias("lo")).distinct(), "edges")
-        for old in done:
-            forget(old)
+        forget(*done)
     raise RuntimeError("components did not settle")
 
 
 def _jump(parents: DataFrame) -> DataFrame:
-    """(x, parent) with every parent replaced by the root of its chain; parents are less than their children."""
+    """(x, parent) with every parent replaced by the root of its chain; parents are less than their children. Two jumps a round."""
     first = parents
     for _ in range(MOST_ROUNDS):
-        up = parents.select(F.col("x").alias("parent"), F.col("parent").alias("above"))
-        jumped = materialize(parents.join(up, "parent", "left").select("x", F.coalesce("above", "parent").alias("parent"), (F.coalesce("above", "parent") != F.col("parent")).alias("moved")), "jumps")
+        up = lambda x, y: parents.select(F.col("x").alias(x), F.col("parent").alias(y))
+        above = parents.select("x", "parent").join(up("parent", "above"), "parent", "left").select("x", F.coalesce("above", "parent").alias("parent"))
+        top = F.coalesce("above", "parent")
+        jumped = materialize(above.join(up("parent", "above"), "parent", "left").select("x", top.alias("parent"), (top != F.col("parent")).alias("moved")), "jumps")
         if parents is not first:
             forget(parents)
-        parents = jumped.select("x", "parent")
+        parents = jumped
         if jumped.where("moved").isEmpty():
             return parents
     raise RuntimeError("pointers did not settle")

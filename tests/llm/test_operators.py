@@ -196,10 +196,31 @@ def test_near_duplicates(docs, rows):
 def test_deduplicate_texts_of_one_id(spark):
     rng = random.Random(13)
     a, b, c = (prose(rng, 80) for _ in range(3))
-    rows = [(1, a, "x"), (2, b, "y"), (2, a, "y"), (2, b, "y"), (3, c, "z"), (3, c + " end", "z"), (4, None, "n"), (4, a + " more", "n"), (None, a, "o")]
+    rows = [(1, a, "x"), (2, b, "y"), (2, a, "y"), (2, b, "y"), (3, c, "z"), (3, c + " end", "z"), (4, None, "n"), (4, None, "n"), (4, a + " more", "n"), (None, a, "o"), (None, "alone here", "o"), (None, "", "o")]
     got = minhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
     texts = Counter((r.doc_id, r.text) for r in got)
-    assert texts[1, a] == texts[2, b] == texts[4, None] == texts[None, a] == 1 and texts[3, c] + texts[3, c + " end"] == 1 and len(got) == 5
+    assert texts[1, a] == texts[2, b] == texts[4, None] == texts[None, "alone here"] == texts[None, ""] == 1 and texts[3, c] + texts[3, c + " end"] == 1 and len(got) == 6
+
+
+def test_near_duplicates_keep_every_text(spark):
+    """Ids that stand for several texts never merge the classes of these."""
+    rng = random.Random(14)
+    x, y = prose(rng, 90), prose(rng, 90)
+    df = spark.createDataFrame([(1, x), (3, x), (1, y), (0, y), (9, "q")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (3, 1, False), (9, 9, True)]
+    assert sorted(r.text for r in minhash.deduplicate(df).collect()) == sorted([x, y, "q"])
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    rng = random.Random(15)
+    base = prose(rng, 120).split()
+    rows = [(7, " ".join(base))] * 300 + [(i, " ".join([*base[:i], "edit", *base[i + 1 :]])) for i in range(20, 60)]
+    df = spark.createDataFrame([(*r, "k", "row", 1) for r in rows], "doc_id bigint, text string, `identity` string, `row` string, `first` int")
+    got = minhash.near_duplicates(df).collect()
+    assert len(got) == 340 and {r.class_id for r in got} == {7} and sum(r.kept for r in got) == 300
+    kept = minhash.deduplicate(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(*rows[0], "k", "row", 1)]
 
 
 def test_near_duplicate_family(spark, monkeypatch):
