@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -432,11 +433,48 @@ def test_redact_keeps_columns(docs):
     ("<article class=post><p>long long text</p></article><div id=comments><article>no</article></div>", "long long text"), ("<p>a<!-- x --><p title='>'>b", "a b"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
     ("<div class=header>h</div><div id=content><p>main</p><div class=sidebar>s</div></div><div>other</div>", "main"),
     ("<style>p{}</style><div class='cookie-notice'>no</div><div>yes</div>", "yes"), ("a < b <3", "a < b <3"), ("<article>" + "<p>" * 3000 + "deep" + "<b>" * 3000 + "er</article>", "deeper"),
+    ("<article>first part</article><div>no</div><article>second longer part</article>", "first part second longer part"), ("<main>a</main><main>b</main>", "a b"),
+    ("<article><section class=discussion>kept</section><p id='share-of-gdp'>and <b class=notice-of-intent>this</b></p><div class='share-links'><a>no</a> <a>no</a></div></article>", "kept and this"),
+    ("<article><p title='the hidden gem'>shown</p><p hidden>not</p><div class='ad-300x250'>no</div><div class='post ad'>no</div></article>", "shown"),
+    ("<article><p>a</p><article class=comment><p>no</p></article><article><p>nested</p></article></article>", "a nested"), ("<p>it's <a title=it's>fine</a> 'x", "it's fine 'x"),
+    ("<title>t</title>x<script>no", "x"), ("a<p title='never closed>b</p>c", "a b c"), ("x <b", "x <b"),
 ])
 def test_html_texts(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("bad", ["<a ", '<a x="', "<!--", "<b>", "</i>", "<p>", "<script>", '<a b=">" ', "<div class=related>t", "<div class=content>", "<![CDATA[", "<td><tr>", "&#", "<article>"])
+def test_html_of_broken_pages_in_linear_time(bad):
+    """A page of 1 MB of tags that nothing closes."""
+    began = time.process_time()
+    html.main_text(bad * (1_000_000 // len(bad)) + "</i>" * 1000 + "'")
+    assert time.process_time() - began < 20
+
+
+def test_html_of_many_pages(spark):
+    """Pages made of articles and of furniture, whose texts are thus known."""
+    rng = random.Random(16)
+    noise = ["<nav>{}</nav>", "<div class='site-header header'>{}</div>", "<footer>{}</footer>", "<aside>{}</aside>", "<div class='cookie-notice'>{}</div>", "<div id=comments><p>{}</p></div>", "<form>{}<input></form>",
+             "<div class=ad>{}</div>", "<script>var t='{}</p>';</script>", "<style>{}</style>", "<!-- {} -->", "<ul role=navigation><li>{}</ul>", "<div class='related'><a href=/>{}</a></div>"]
+    boxes = [f"<div class='x{k}'><p>{prose(rng, 8)}</p>{prose(rng, 3)}</div>" for k in range(3)]  # unnamed, on every page of the host
+    pages, want = [], {}
+    for i in range(60):
+        own = [prose(rng, rng.randrange(3, 20)) for _ in range(rng.randrange(2, 7))]
+        spoil = lambda: "".join(rng.choice(noise).format(prose(rng, 5)) for _ in range(rng.randrange(3)))
+        inside = "".join(f"{spoil()}<p>{x.replace(' ', rng.choice([' ', '&#32;', chr(10) * 2, ' <i>', '</i> ']))}</p>" + (boxes[i % 3] if j == 1 else "") for j, x in enumerate(own))
+        pages.append((i, f"http://host{i % 2}.example/{i}", f"<html><head><title>no</title></head><body>{spoil()}<article>{inside}{spoil()}</article>{spoil()}</body></html>"))
+        want[i] = " ".join(own)
+    assert texts_of(spark, pages) == want
+    alone = {i: html.main_text(page) for i, _, page in pages}
+    assert all(alone[i] != want[i] for i in want)  # it takes the other pages of the host to tell
+
+
+def test_html_columns(spark):
+    df = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "k", 2, "r", "t")], "page_id bigint, url string, html string, `key` string, ranges int, `row` string, hashes string")
+    out = html.extract(df)
+    assert out.columns == ["page_id", "url", "key", "ranges", "row", "hashes", "text"] and [tuple(r) for r in out.collect()] == [(1, "http://a/", "k", 2, "r", "t", "x")]
+
+
 def test_html_templates(spark):
     body = lambda i: f"<div><div>Welcome to our site</div><div>story {i} {'word ' * i}</div></div>"
     pages = [(i, f"http://h.example/{i}", body(i)) for i in range(12)] + [(100, "http://other.example/", body(1)), (101, None, None), (102, "nonsense", "x")]
