@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE_SQL, "op4_near_duplicates": minhash.ORACLE_SQL}
+    return {"op2_mixing": mixing.ORACLE_SQL, "op4_near_duplicates": minhash.ORACLE_SQL, "op7_embeddings": multi_index.ORACLE_SQL}

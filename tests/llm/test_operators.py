@@ -362,6 +362,24 @@ def test_embeddings(spark, monkeypatch):
     assert sum(want[i] == got[i].component_id for i in range(600)) >= 590
 
 
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    """Less common lengths, with an index and without; equal vectors; rows that repeat an id; no id."""
+    rng = np.random.default_rng(21)
+    far = lambda n, size: rng.normal(size=(n, size)).tolist()
+    rows = list(enumerate(far(300, 24)))
+    rows += [(1000 + i, v) for i, v in enumerate(far(60, 12))] + [(2000, [1.0, 2.0, 3.0]), (2001, [2.0, 4.0, 6.0]), (2002, [3.0, -1.0, 0.0]), (2003, [-0.0, 1.0, 1.0]), (2004, [0.0, 1.0, 1.0])]
+    rows += [(3000 + i, rows[5][1]) for i in range(200)] + [(1000, rows[300][1]), (1000, rows[301][1]), (None, rows[5][1])]
+    monkeypatch.setattr(multi_index, "FEW", 50)
+    monkeypatch.setattr(multi_index, "BLOCK", 64)
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id bigint, embedding array<double>, node int, times int, low string").repartition(3)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in multi_index.near_vectors(df).collect()), key=str)
+    con = duckdb.connect()
+    con.register("embeddings", df.select("vec_id", "embedding").toArrow())
+    assert got == sorted(con.sql(multi_index.ORACLE_SQL).fetchall(), key=str)
+    told = {i: (n, c) for i, n, c, _ in got}
+    assert told[2000] == told[2001] == (3, 2000) and told[2002] == (0, 2002) and told[2003] == (3, 2000) and told[5] == (200, 5) and told[3199] == (200, 5) and told[None] == (0, None)
+
+
 @pytest.mark.parametrize("close, more", [(0.92, 0), (0.945, 300)])
 def test_embeddings_of_thin_links(spark, monkeypatch, close, more):
     """Pairs of which the sample holds next to none, in many cells, also beside a large group."""
