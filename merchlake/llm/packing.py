@@ -1,13 +1,17 @@
 """Best-fit packing into sequences by a grouping genetic algorithm on islands.
 
-Pieces of at most `capacity` tokens are dealt by hash into bounded groups, and each group is one bin-packing
+Pieces of at most `capacity` tokens are dealt by hash of a row number into bounded groups, and each group is one bin-packing
 problem. Several islands evolve packings of a group apart from each other, as separate rows of one table; after each
 epoch every island hands its best packing to its neighbour through a shuffle. Crossover injects whole
-well-filled bins of one parent into the other, drops the bins that hold duplicates, and best-fits the
-displaced pieces. A group whose packing meets the lower bound ceil(tokens / capacity) evolves no more.
-Groups hold about GROUP pieces whatever the input's size, so memory per task is bounded; the price is at most
-one part-filled sequence per group. Null text is an empty document of one token; rows with the same doc_id are packed as they are; an
-empty table gives an empty table, and extra columns are ignored.
+well-filled bins of one parent into the other, drops the bins that hold duplicates, exchanges displaced pieces for smaller ones where that
+fills a bin better, and best-fits the rest. A group whose packing meets the lower bound ceil(tokens / capacity) evolves no more.
+
+Rounds follow: each group keeps its best-filled sequences and hands on the pieces of the worst-filled ones (at most one in RELEASED), which are
+dealt into fewer groups and packed again, with a longer search, until all that is left is one group. So memory per task is bounded whatever
+the input's size, and part-filled sequences do not add up with the groups.
+
+Null text is an empty document of one token; rows that repeat in full are packed as they are, in different groups; an empty table gives an
+empty table, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialize
+from .common import by_batch, materialize, packed, unpacked
 from .tokens import tokenizer_path, word_tokenizer
 
 CAPACITY = 2048
 END = 0
 #: Pieces per group, islands per group, packings per island, epochs, and offspring per epoch.
 GROUP, ISLANDS, POPULATION, EPOCHS, OFFSPRING = 2000, 2, 4, 2, 6
+#: One in so many sequences, the worst-filled, is packed again in the next round, with so many times the offspring; sequences of a group, at
+#: least, on average, so that pieces of one token do not make a group of less than a sequence.
+RELEASED, LATER, LEAST_BINS = 8, 8, 64
 
 
 def best_fit(sizes: list[int], items: list[int], capacity: int, bins: list[list[int]], loads: list[int]) -> None:
@@ -57,6 +64,29 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def exchange(sizes: list[int], loose: list[int], capacity: int, bins: list[list[int]], loads: list[int]) -> list[int]:
+    """Fills bins up by taking in a loose piece for one or two smaller ones, which become loose instead; returns what is loose then."""
+    order = sorted((sizes[i], i) for i in loose)
+    for b, own in enumerate(bins):
+        room = capacity - loads[b]
+        if not room or not order:
+            continue
+        best = (0, 0, ())
+        for x, one in enumerate(own):
+            for two in (None, *own[x + 1 :]):
+                out = sizes[one] + (0 if two is None else sizes[two])
+                at = bisect_left(order, (out + room + 1, -1)) - 1
+                if at >= 0 and order[at][0] - out > best[0]:
+                    best = (order[at][0] - out, at, (one,) if two is None else (one, two))
+        if best[0]:
+            gain, at, out = best
+            own[:] = [i for i in own if i not in out] + [order.pop(at)[1]]
+            loads[b] += gain
+            for i in out:
+                insort(order, (sizes[i], i))
+    return [i for _, i in order]
+
+
 def crossover(one: list[list[int]], two: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """Injects well-filled bins of `two` into `one`; what the dropped bins of `one` held else is best-fitted."""
     fill = np.array([sum(sizes[i] for i in b) for b in two])
@@ -66,7 +96,8 @@ def crossover(one: list[list[int]], two: list[list[int]], sizes: list[int], capa
     kept = [b for b in one if taken.isdisjoint(b)]
     loose = [i for b in one if not taken.isdisjoint(b) for i in b if i not in taken]
     bins = [list(b) for b in given] + [list(b) for b in kept]
-    best_fit(sizes, loose, capacity, bins, [sum(sizes[i] for i in b) for b in bins])
+    loads = [sum(sizes[i] for i in b) for b in bins]
+    best_fit(sizes, exchange(sizes, loose, capacity, bins, loads), capacity, bins, loads)
     return bins
 
 
@@ -76,8 +107,8 @@ def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: np.rando
     out = {int(np.argmin(loads)), *map(int, rng.integers(0, len(bins), size=3))}
     loose = [i for b in out for i in bins[b]]
     kept = [list(b) for n, b in enumerate(bins) if n not in out]
-    rng.shuffle(loose)
-    best_fit(sizes, loose, capacity, kept, [x for n, x in enumerate(loads) if n not in out])
+    left = [x for n, x in enumerate(loads) if n not in out]
+    best_fit(sizes, exchange(sizes, loose, capacity, kept, left), capacity, kept, left)
     return kept
 
 
@@ -155,7 +186,7 @@ def to_places(bins: list[list[int]], n: int) -> list[int]:
     return out
 
 
-def _epoch(groups: DataFrame, elites: DataFrame | None, capacity: int, epoch: int) -> DataFrame:
+def _epoch(groups: DataFrame, elites: DataFrame | None, capacity: int, epoch: int, offspring: int) -> DataFrame:
     """One epoch of every island of every group: its best packing as the bin of each piece, and its fitness."""
     each = groups.select("grp", F.col("items.length").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
     met = F.lit(None).cast("array<array<int>>").alias("met")
@@ -170,7 +201,7 @@ def _epoch(groups: DataFrame, elites: DataFrame | None, capacity: int, epoch: in
             for grp, island, sizes, met in zip(pdf.grp, pdf.island, pdf.sizes, pdf.met, strict=True):
                 sizes = [int(x) for x in sizes]
                 visitors = [to_bins(x) for x in met] if met is not None else []
-                bins = evolve(sizes, capacity, (int(grp) * ISLANDS + int(island)) * EPOCHS + epoch, visitors)
+                bins = evolve(sizes, capacity, (int(grp) * ISLANDS + int(island)) * EPOCHS + epoch, visitors, offspring)
                 few, fill = fitness(bins, sizes, capacity)
                 rows.append((grp, island, to_places(bins, len(sizes)), few + fill / 2))
             yield pd.DataFrame(rows, columns=["grp", "island", "places", "fit"])
@@ -178,40 +209,54 @@ def _epoch(groups: DataFrame, elites: DataFrame | None, capacity: int, epoch: in
     return each.select("grp", "island", "sizes", met).mapInPandas(run, "grp bigint, island int, places array<int>, fit double")
 
 
-def _offsets(best: DataFrame) -> DataFrame:
-    """Adds the offset of each piece in its sequence, in the order of the group's pieces."""
+def settled(sizes: list[int], places: list[int], capacity: int, released: int) -> tuple[list[int], list[int]]:
+    """Each piece's bin, or -1 if it is to be packed again, and its offset there. One in `released` bins goes, the worst-filled, none if 0."""
+    loads: dict[int, int] = {}
+    offsets = []
+    for size, b in zip(sizes, places, strict=True):
+        offsets.append(loads.get(b, 0))
+        loads[b] = offsets[-1] + size
+    most = -(-len(loads) // released) if released else 0
+    again = {b for b in sorted(loads, key=lambda b: (loads[b], b))[:most] if loads[b] < capacity}
+    return [-1 if b in again else b for b in places], offsets
+
+
+def _packed(waiting: DataFrame, n_groups: int, capacity: int, step: int, released: int) -> DataFrame:
+    """waiting (uid, length), packed in groups: uid, length, sequence_id (null if it is to be packed again) and offset."""
+    grp = F.pmod(F.xxhash64("uid", F.lit(step)), F.lit(n_groups)).alias("grp")
+    groups = waiting.select(grp, F.struct("length", "uid").alias("item")).groupBy("grp").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    elites = None
+    for epoch in range(EPOCHS):
+        elites = _epoch(groups, elites, capacity, epoch, OFFSPRING * (LATER if step else 1))
+    best = elites.groupBy("grp").agg(F.max(F.struct("fit", "places")).alias("best"))
+    rows = groups.join(best, "grp").select("grp", F.col("items.length").alias("sizes"), F.col("items.uid").alias("uids"), F.col("best.places").alias("places"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for sizes, places in zip(pdf.sizes, pdf.places, strict=True):
-                used: dict[int, int] = {}
-                own = []
-                for size, b in zip(sizes, places, strict=True):
-                    own.append(used.get(b, 0))
-                    used[b] = own[-1] + int(size)
-                out.append(own)
-            yield pdf[["grp", "places"]].assign(offsets=out)
+            for grp, sizes, uids, places in zip(pdf.grp, pdf.sizes, pdf.uids, pdf.places, strict=True):
+                bins, offsets = settled([int(x) for x in sizes], [int(x) for x in places], capacity, released)
+                yield pd.DataFrame({"grp": grp, "uid": uids, "length": sizes, "bin": bins, "offset": offsets})
 
-    return best.mapInPandas(run, "grp bigint, places array<int>, offsets array<bigint>")
+    number = (F.col("grp") * (1 << 24) + F.lit(step) * (1 << 20) + F.col("bin")).alias("sequence_id")
+    return rows.mapInPandas(run, "grp bigint, uid bigint, length bigint, bin bigint, offset bigint").select("uid", "length", F.when(F.col("bin") >= 0, number).alias("sequence_id"), "offset")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """items (any columns, with `length` from 1 to capacity) with sequence_id and offset. items is read more than once."""
-    n_groups = max(1, -(-items.count() // group))
-    columns = items.columns
-    named = F.struct("length", *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)))
-    grp = F.pmod(F.xxhash64(*columns), F.lit(n_groups)).alias("grp")
-    groups = items.select(grp, named.alias("item")).groupBy("grp").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    elites = None
-    for epoch in range(EPOCHS):
-        elites = _epoch(groups, elites, capacity, epoch)
-    best = elites.groupBy("grp").agg(F.max(F.struct("fit", "places")).alias("best"))
-    placed = _offsets(groups.select("grp", "items").join(best, "grp").select("grp", F.col("items.length").alias("sizes"), F.col("best.places").alias("places")))
-    rows = groups.join(placed, "grp").select("grp", F.explode(F.arrays_zip("items", "places", "offsets")).alias("x"))
-    return rows.select(*(F.col(f"x.items._{i}").alias(c) for i, c in enumerate(columns)), (F.col("grp") * (1 << 20) + F.col("x.places")).alias("sequence_id"), F.col("x.offsets").alias("offset"))
+    """items (any columns, with `length` from 1 to capacity) with sequence_id and offset."""
+    numbered = materialize(packed(items, F.col("length").cast("bigint").alias("length"), F.monotonically_increasing_id().alias("uid")), "numbered")
+    waiting, placed, step = numbered.select("length", "uid"), None, 0
+    while True:
+        n, tokens = waiting.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        n_groups = max(1, min(-(-n // group), tokens // (capacity * LEAST_BINS)))
+        done = materialize(_packed(waiting, n_groups, capacity, step, RELEASED if n_groups > 1 else 0), "packed")
+        kept = done.where("sequence_id IS NOT NULL").select("uid", "sequence_id", "offset")
+        placed = kept if placed is None else placed.unionByName(kept)
+        if n_groups == 1:
+            break
+        waiting, step = done.where("sequence_id IS NULL").select("length", "uid"), step + 1
+    return unpacked(numbered.select("row", "uid").join(placed.withColumnRenamed("uid", "own"), F.col("uid") == F.col("own")), [c for c in items.columns if c not in ("sequence_id", "offset")], "sequence_id", "offset")
 
 
 def op5_packing(documents: DataFrame) -> DataFrame:
     """Every document's tokens, in pieces of at most 2048, each with its sequence and its place there."""
-    return pack(materialize(pieces(documents), "pieces"))
+    return pack(pieces(documents))

@@ -278,9 +278,28 @@ def test_packing_genetics():
     assert len(bins) <= len(packing.first_packing(sizes, 2048, None))
     child = packing.mutate(packing.crossover(bins, packing.first_packing(sizes, 2048, rng), sizes, 2048, rng), sizes, 2048, rng)
     assert sorted(i for b in child for i in b) == list(range(400)) and max(sum(sizes[i] for i in b) for b in child) <= 2048
+    three = [x for _ in range(60) for a in [int(rng.integers(780, 1000))] for b in [int(rng.integers(512, 600))] for x in (a, b, 2048 - a - b)]  # three fill a bin
+    assert len(packing.evolve(three, 2048, 1, [], 50)) < 0.93 * len(packing.first_packing(three, 2048, None))
     assert packing.to_bins(packing.to_places(bins, 400)) and packing.lower_bound([2048, 1], 2048) == 2
 
 
+def test_packing_rounds(spark, monkeypatch):
+    """Many groups, equal rows, and pieces of one token."""
+    monkeypatch.setattr(packing, "GROUP", 200)
+    monkeypatch.setattr(packing, "LEAST_BINS", 8)
+    rng = random.Random(17)
+    lengths = [rng.randrange(1, 100) for _ in range(900)] + [100] * 30 + [1] * 500 + [37] * 400
+    df = spark.createDataFrame([(n, 5, "x") for n in lengths], "length bigint, uid int, row string").repartition(3)
+    got = packing.pack(df, 100).collect()
+    assert sorted(r.length for r in got) == sorted(lengths) and {r.uid for r in got} == {5}
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 100
+    assert len(bins) <= len(packing.first_packing(lengths, 100, None)) + 1
+
+
 def test_tokens_by_words_are_tokens_of_texts():
     texts = ["", " ", "I'M don't x<|endoftext|>y", "é́x e\u0301, ΑΣ ΑΣΑ, İstanbul ß", "a\x1cb \x85 日本語, 1234\r\n\t5 (foo) a_b", "ª º ²x ǅ " * 20]
     encoder = WordTokenizer(tokenizer_path())
