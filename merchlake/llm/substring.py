@@ -1,39 +1,43 @@
-"""Substring dedup: suffix automata over shards of candidate segments, streamed for matching statistics.
+"""Substring dedup: suffix automata of reference shards, broadcast or dealt out, streamed for matching statistics.
 
 A window is `WINDOW` consecutive words. Every window has an anchor, the K-gram of least hash in it, so equal windows share their
 anchor wherever they start, and each window belongs to one anchor occurrence. An anchor occurrence with all windows that it owns is a
 segment. Only anchors that occur twice or more can own a repeated window:
 
-1. anchors are counted with partial aggregation; if all segments at an anchor are equal, every window of them repeats;
-2. otherwise the distinct segments of the anchor form a reference shard. Shards are split by hash once they pass SHARD segments. A suffix
+1. anchors are counted with partial aggregation;
+2. the segments that occur most at the commonest anchors, BROADCAST at most, form the first reference shard. Its suffix automaton is
+   broadcast, and every document is streamed through it: a window that it holds is repeated. K-grams that the shard does not hold are passed
+   over without a step of the automaton. Segments in it take no further part, so copies of few texts never meet in a join;
+3. of the other anchors, if all segments at one are equal, every window of them repeats: no automaton could say more;
+4. otherwise the distinct segments of the anchor form a reference shard. Shards are split by hash once they pass SHARD segments. A suffix
    automaton of each shard with occurrence counts is built where its segments meet, and the segments are streamed through it: a
    window whose state counts two or more occurrences is repeated;
-3. of the shards that were split, windows seen once are counted across shards by hash;
-4. covered words go back to the documents, joined on a hash of the text, and maximal spans are removed.
+5. of the shards that were split, windows seen once are counted across shards by anchor and hash;
+6. covered words go back to the documents, joined on a hash of the text, and maximal spans are removed.
 
-The corpus is its own reference, so broadcasting the automata of all shards would grow with the input and every document would
-stream through all of them. Here segments are sent to the one shard that can match them instead; no automaton is broadcast, and memory
-is bounded by SHARD segments. Null text has no words; a text shorter than a window keeps all; equal rows repeat each other; an empty
-table gives an empty table; extra columns do not matter. Two different windows count as equal only if 128 bits of hash agree.
+The corpus is its own reference, so broadcasting the automata of all shards would grow with the input, and every document would
+stream through all of them. Steps 3 to 5 are the exact way for what exceeds the broadcast shard: segments are sent to the one shard that can
+match them, and memory is bounded by SHARD segments. Null text has no words; a text shorter than a window keeps all; equal rows repeat each
+other; an empty table gives an empty table; extra columns of any name stay. Two different windows count as equal only if 128 bits of hash agree.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, gram_hashes, groups_of, hash_words, materialize, mix64, record_batches, word_hashes
+from .common import by_batch, forget, gram_hashes, groups_of, hash_words, materialize, mix64, packed, record_batches, word_hashes
 
 WINDOW = 35
 #: Words of an anchor; windows hold WINDOW - K + 1 of these.
 K = 12
-#: Distinct segments in one automaton, about.
-SHARD = 2000
+#: Distinct segments in one automaton that is dealt out, about; segments in the one that is broadcast and anchors that they come from, at most.
+SHARD, BROADCAST, COMMON_ANCHORS = 2000, 1024, 512
 _P = 0x9FB21C651E98DF25
 _PINV = pow(_P, -1, 1 << 64)
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -49,6 +53,38 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
+class Reference:
+    """The shard that is broadcast: its automaton over words numbered by hash, and its K-grams in order."""
+
+    def __init__(self, segments: list[np.ndarray]):
+        self.ids: dict[int, int] = {}
+        self.automaton = Automaton()
+        grams = [gram_hashes(words, K) for words in segments]
+        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, dtype=np.uint64)
+        for words in segments:
+            self.automaton.add([self.ids.setdefault(w, len(self.ids)) for w in words.tolist()], 1)
+        self.automaton.finish()
+
+    def windows(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where windows start that the shard holds, in some texts."""
+        grams = gram_hashes(words, K)
+        width = WINDOW - K + 1
+        if not len(self.grams) or len(grams) < width:
+            return np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        held = np.concatenate(([0], np.cumsum(self.grams[at] == grams)))
+        starts = np.arange(len(grams) - width + 1)
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(starts)]
+        may = np.flatnonzero((held[width:] - held[:-width] == width) & (starts + WINDOW <= bounds[text + 1]))
+        found = []
+        for run in np.split(may, np.flatnonzero(np.diff(may) != 1) + 1):
+            if len(run):
+                streamed = [self.ids.get(w, -1) for w in words[run[0] : run[-1] + WINDOW].tolist()]
+                seen = self.automaton.occurrences(streamed, WINDOW)
+                found.append(run[0] + np.flatnonzero(seen))
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
 class Anchors:
     """The anchor occurrences that own windows in some texts: hash, segment hash, first window, number of windows, text."""
 
@@ -235,86 +271,115 @@ def _match(segments: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """(key, list of (first, owned, segment, mask)): the repeated windows of each text; docs has key and text."""
-    occurrences = _occurrences(docs)
+def reference(docs: DataFrame, occurrences: DataFrame, repeated: DataFrame) -> tuple[Reference, DataFrame]:
+    """The shard to broadcast and its (anchor, segment); both are bounded by BROADCAST."""
+    common = repeated.orderBy(F.desc("total"), "anchor").limit(COMMON_ANCHORS).select("anchor")
+    counted = occurrences.join(F.broadcast(common), "anchor").groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "owned")).alias("one"))
+    chosen = materialize(counted.where("n > 1").orderBy(F.desc("n"), "anchor", "segment").limit(BROADCAST), "chosen")
+    wanted = chosen.select("one.*", "anchor", "segment", "n", F.lit(1).alias("shards"))
+    words = {(r.anchor, r.segment): r.words for r in _contents(docs, wanted).select("anchor", "segment", "words").collect()}
+    return Reference([np.array(w, dtype=np.int64).view(np.uint64) for _, w in sorted(words.items())]), chosen.select("anchor", "segment")
+
+
+def marks(docs: DataFrame) -> tuple[Reference, DataFrame]:
+    """The broadcast shard, and (key, list of (first, owned, segment, mask)): the other repeated windows of each text; docs has key and text."""
+    occurrences = materialize(_occurrences(docs), "occurrences")
     totals = occurrences.groupBy("anchor").agg(F.count("*").alias("total"), F.min("segment").alias("low"), F.max("segment").alias("high"))
-    # Written first, so that the join has an exchange of its own on either side and large anchors can be split.
-    repeated = materialize(totals.where("total > 1").select("anchor", (F.col("low") == F.col("high")).alias("same")), "repeated")
-    hits = materialize(occurrences.join(repeated, "anchor"), "anchors")
+    # Tables are written before they are joined, so that the join has an exchange of its own on either side and hot keys can be split.
+    repeated = materialize(totals.where("total > 1").select("anchor", "total", (F.col("low") == F.col("high")).alias("same")), "repeated")
+    shard, chosen = reference(docs, occurrences, repeated)
+    left = occurrences.join(F.broadcast(chosen), ["anchor", "segment"], "left_anti")  # at most BROADCAST rows
+    hits = materialize(left.join(repeated.select("anchor", "same"), "anchor"), "anchors")
+    forget(occurrences)
     sure = hits.where("same").select("key", "first", "owned", "segment", F.lit((1 << WINDOW - K + 1) - 1).cast("long").alias("mask"))
     mixed = hits.where("not same")
-    distinct = mixed.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "owned")).alias("one"))
-    sizes = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    distinct = materialize(mixed.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "owned")).alias("one")), "distinct")
+    sizes = materialize(distinct.groupBy("anchor").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")), "sizes")
     wanted = distinct.join(sizes, "anchor").select("one.*", "anchor", "segment", "n", "shards")
     matched = materialize(_match(_contents(docs, wanted)), "matched")
     opened = matched.select("anchor", "segment", "n", F.explode("open").alias("o")).select("anchor", "segment", "n", "o.*")
-    across = opened.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
-    more = opened.where("at >= 0").join(across, "window").groupBy("anchor", "segment").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("more"))
+    across = opened.groupBy("anchor", "window").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "window")
+    more = opened.where("at >= 0").join(across, ["anchor", "window"]).groupBy("anchor", "segment").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("more"))
     masks = matched.join(more, ["anchor", "segment"], "left").select("anchor", "segment", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0).cast("long"))).alias("mask")).where("mask <> 0")
-    masks = materialize(masks, "masks")  # for the same reason: one line may be a large part of all segments
+    masks = materialize(masks, "masks")
     found = sure.unionByName(mixed.join(masks, ["anchor", "segment"]).select("key", "first", "owned", "segment", "mask"))
-    return found.groupBy("key").agg(F.collect_set(F.struct("first", "owned", "segment", "mask")).alias("marks"))
+    out = materialize(found.groupBy("key").agg(F.collect_set(F.struct("first", "owned", "segment", "mask")).alias("marks")), "marks")
+    forget(repeated, hits, distinct, sizes, matched, masks)
+    return shard, out
 
 
-def covered(texts: list[str | None], found: pa.ListArray) -> list[np.ndarray | None]:
-    """For each text, which of its words lie in a repeated window; None if it has no marks."""
-    out: list[np.ndarray | None] = [None] * len(texts)
+def covered(texts: list[str | None], found: pa.ListArray, shard: Reference) -> list[np.ndarray]:
+    """For each text, which of its words lie in a repeated window: one of the broadcast shard, or a marked one."""
+    out: list[np.ndarray] = []
     counts = found.value_lengths().fill_null(0).to_numpy()
-    some = np.flatnonzero(counts)
     flat = found.flatten()
     first, owned, segment, mask = (flat.field(i).to_numpy() for i in range(4))
-    begin = np.concatenate(([0], np.cumsum(counts[some])))
-    for part in groups_of([texts[i] for i in some]):
-        words, bounds = hash_words([texts[i] for i in some[part]])
-        x = Anchors(words, bounds)
-        own = slice(begin[part.start], begin[part.stop])
-        at = np.repeat(bounds[:-1], counts[some[part]]) + first[own]
-        place = np.minimum(np.searchsorted(x.first, at), max(0, len(x.first) - 1))
-        fits = (x.first[place] == at) & (x.segment[place] == segment[own]) if len(x.first) else np.zeros(len(at), dtype=bool)
+    begin = np.concatenate(([0], np.cumsum(counts)))
+    for part in groups_of(texts):
+        words, bounds = hash_words(texts[part])
         change = np.zeros(len(words) + 1, dtype=np.int64)
-        for j in range(WINDOW - K + 1):
-            on = at[fits & (j < owned[own]) & (mask[own] >> j & 1 == 1)] + j
-            np.add.at(change, on, 1)
-            np.add.at(change, on + WINDOW, -1)
+        held = shard.windows(words, bounds)
+        np.add.at(change, held, 1)
+        np.add.at(change, held + WINDOW, -1)
+        own = slice(begin[part.start], begin[part.stop])
+        if own.stop > own.start:
+            x = Anchors(words, bounds)
+            at = np.repeat(bounds[:-1], counts[part]) + first[own]
+            place = np.minimum(np.searchsorted(x.first, at), max(0, len(x.first) - 1))
+            fits = (x.first[place] == at) & (x.segment[place] == segment[own]) if len(x.first) else np.zeros(len(at), dtype=bool)
+            for j in range(WINDOW - K + 1):
+                on = at[fits & (j < owned[own]) & (mask[own] >> j & 1 == 1)] + j
+                np.add.at(change, on, 1)
+                np.add.at(change, on + WINDOW, -1)
         gone = np.cumsum(change)[:-1] > 0
-        for i, a, b in zip(some[part], bounds, bounds[1:]):
-            out[i] = gone[a:b]
+        out += [gone[a:b] for a, b in zip(bounds, bounds[1:])]
     return out
 
 
-def with_marks(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the column `_marks`, null for texts without repeats."""
-    found = marks(df.select(text_id(text).alias("key"), F.col(text).alias("text"))).select(F.col("key").alias("_text_id"), F.col("marks").alias("_marks"))
-    return df.withColumn("_text_id", text_id(text)).join(found, "_text_id", "left").drop("_text_id")
+def _cut(df: DataFrame, text: str, fn: Callable[[list[str | None], list[np.ndarray]], dict], schema: str) -> DataFrame:
+    """The columns of df in `row`, and what fn makes of the texts and their covered words."""
+    shard, found = marks(df.select(text_id(text).alias("key"), F.col(text).alias("text")))
+    shared = df.sparkSession.sparkContext.broadcast(shard)
+    named = packed(df, text_id(text).alias("key"), F.col(text).alias("text"))
+    joined = named.join(found.withColumnRenamed("key", "found"), F.col("key") == F.col("found"), "left").select("row", "text", "marks")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(1).to_pylist()
+        return {"row": batch.column(0)} | fn(texts, covered(texts, batch.column(2), shared.value))
+
+    return by_batch(joined, run, f"row {dict(named.dtypes)['row']}, {schema}")
 
 
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     """df with repeated windows cut from its texts; words that stay are joined by spaces, untouched texts stay as they are."""
 
-    def cut(batch: pa.RecordBatch) -> dict:
-        own = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        texts, out = own[text].to_pylist(), []
-        for x, gone in zip(texts, covered(texts, own.pop("_marks")), strict=True):
-            if gone is not None and gone.any():
-                x = b" ".join(w for w, g in zip(x.encode().split(), gone, strict=True) if not g).decode()
-            out.append(x)
-        return own | {text: out}
+    def cut(texts: list[str | None], gone: list[np.ndarray]) -> dict:
+        return {"kept": [b" ".join(w for w, g in zip(x.encode().split(), own, strict=True) if not g).decode() if own.any() else x for x, own in zip(texts, gone, strict=True)]}
 
-    return by_batch(with_marks(df, text), cut, ", ".join(f"`{n}` {t}" for n, t in df.dtypes))
+    return _cut(df, text, cut, "kept string").select(*(F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 
 def op6_substrings(documents: DataFrame) -> DataFrame:
     """Per document: its words, how many lie in windows that start elsewhere too, and a digest of the others."""
 
-    def digest(batch: pa.RecordBatch) -> list:
-        rows, texts = [], batch.column(1).to_pylist()
-        for key, x, gone in zip(batch.column(0).to_pylist(), texts, covered(texts, batch.column(2)), strict=True):
-            words = kept = (x or "").encode("utf-8", "surrogatepass").split()
-            if gone is not None:
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            rows.append((key, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        return rows
-
-    marked = with_marks(documents.select("doc_id", "text"))
-    return by_batch(marked.select("doc_id", "text", "_marks"), digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    def digest(texts: list[str | None], gone: list[np.ndarray]) -> dict:
+        words = [(x or "").encode("utf-8", "surrogatepass").split() for x in texts]
+        kept = [[w for w, g in zip(x, own.tolist(), strict=True) if not g] if own.any() else x for x, own in zip(words, gone, strict=True)]
+        return {"n_words": [len(x) for x in words], "n_removed": [len(x) - len(y) for x, y in zip(words, kept, strict=True)], "kept_sha256": [hashlib.sha256(b" ".join(x)).hexdigest() for x in kept]}
+
+    found = _cut(documents.select("doc_id", "text"), "text", digest, "n_words bigint, n_removed bigint, kept_sha256 string")
+    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: Every window as a string.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+p AS (SELECT r, unnest(range(1, len(w) - {WINDOW - 2})) AS pos, w FROM d WHERE len(w) >= {WINDOW}),
+x AS (SELECT r, pos, md5(array_to_string(w[pos:pos + {WINDOW - 1}], ' ')) AS h FROM p),
+twice AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(pos, pos + {WINDOW})) AS i FROM x JOIN twice USING (h)),
+lost AS (SELECT r, list(i) AS gone FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i : NOT list_contains(gone, i)), lambda i : w[i]) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (r)
+"""

@@ -325,13 +325,30 @@ def repeated(rows):
     return out
 
 
-def test_substrings(docs, rows, monkeypatch):
-    want = repeated(rows)
-    assert Counter(map(tuple, substring.op6_substrings(docs).collect())) == want
-    monkeypatch.setattr(substring, "SHARD", 2)  # every shard is split
-    assert Counter(map(tuple, substring.op6_substrings(docs).collect())) == want
+@pytest.mark.parametrize("broadcast, size", [(1024, 2000), (0, 2000), (5, 2), (0, 2)])
+def test_substrings(docs, rows, monkeypatch, broadcast, size):
+    """Whatever share of the segments the broadcast shard takes, and with every other shard split."""
+    monkeypatch.setattr(substring, "BROADCAST", broadcast)
+    monkeypatch.setattr(substring, "SHARD", size)
+    assert Counter(map(tuple, substring.op6_substrings(docs).collect())) == repeated(rows)
+
+
+def test_substrings_cut(spark, docs):
     cut = substring.remove_repeats(docs.where("doc_id between 40 and 49"))
-    assert cut.columns == docs.columns and all(len(words(r.text)) == 60 for r in cut.collect())
+    assert cut.columns == docs.columns and all(len(words(r.text)) == 60 and (r.key, r.marks, r["size"]) == ("k", "m", 1) for r in cut.collect())
+    own = spark.createDataFrame([("a " * 40, "k", "r", 1), ("b", "l", "s", 2), (None, None, None, None)], "text string, kept string, `row` string, found int")
+    assert sorted(map(tuple, substring.remove_repeats(own).collect()), key=str) == [("", "k", "r", 1), ("b", "l", "s", 2), (None, None, None, None)]
+
+
+def test_substring_reference():
+    rng = np.random.default_rng(18)
+    passage = rng.integers(1, 2**63, 58).astype(np.uint64)
+    shard = substring.Reference([passage[:50], passage[8:]])
+    words_ = np.concatenate((rng.integers(1, 2**63, 20).astype(np.uint64), passage, passage[:34], passage[20:57], passage[:35]))
+    at = np.array([0, 20, 78, len(words_)])
+    want = [p for p in range(len(words_) - 34) if any((words_[p : p + 35] == x).all() for ref in (passage[:50], passage[8:]) for x in np.lib.stride_tricks.sliding_window_view(ref, 35)) and (p < 20) == (p + 34 < 20) and (p < 78) == (p + 34 < 78)]
+    assert shard.windows(words_, at).tolist() == want and len(want) > 20
+    assert substring.Reference([]).windows(words_, at).tolist() == []
 
 
 def test_automaton_counts():
