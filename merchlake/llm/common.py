@@ -62,9 +62,10 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def packed(df: DataFrame, *more: Column) -> DataFrame:
-    """All of df's columns in one called `row`, so that none clashes with the operator's own, and any others."""
-    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *more)
+def packed(df: DataFrame, *more: Column, keep: list[str] | None = None) -> DataFrame:
+    """All of df's columns, or those to keep, in one called `row`, so that none clashes with the operator's own, and any others."""
+    columns = df.columns if keep is None else keep
+    return df.select((F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0))).alias("row"), *more)
 
 
 def unpacked(df: DataFrame, columns: list[str], *more: Column | str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A media column holds whole WAV files. `store` writes 8-bit samples (mu-law or A-law codes, or 64-byte
 ADPCM blocks, whatever the bytes) without loss; `to_pcm` expands such files to linear PCM at twice the
-rate; `digests` reads files back and describes them. Null media count as empty payloads, a payload is
+rate in a column of its own; `digests` reads both back and describes them. Null media count as empty payloads, a payload is
 padded with zero bytes to a positive multiple of 64, equal payloads give equal files and features, and
 further columns of any name pass through `store` and `to_pcm`. An empty table gives an empty table.
 """
@@ -148,10 +148,10 @@ def double_rate(pcm: np.ndarray) -> np.ndarray:
 
 
 def feature(codec: str, pcm: np.ndarray) -> str:
-    """codec:samples:mean size:peak:sign changes:crc32 of the resampled PCM."""
+    """codec:samples:mean size:peak:sign changes of the resampled PCM."""
     size = np.abs(pcm.astype(np.int32))
     turns = int(np.count_nonzero(np.diff(pcm < 0)))
-    return f"{codec}:{len(pcm)}:{int(size.sum()) // max(1, len(pcm))}:{int(size.max(initial=0))}:{turns}:{zlib.crc32(pcm.tobytes())}"
+    return f"{codec}:{len(pcm)}:{int(size.sum()) // max(1, len(pcm))}:{int(size.max(initial=0))}:{turns}"
 
 
 def _groups(media: list[bytes]):
@@ -194,25 +194,26 @@ def to_pcm(df: DataFrame, media: str = "media", pcm: str = "pcm") -> DataFrame:
     return by_batch(df, add, schema)
 
 
-def digests(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """Reads stored files back: the payload's and the file's size and SHA-256, and features of the resampled PCM."""
+def digests(df: DataFrame, key: str = "doc_id", media: str = "media", pcm: str = "pcm") -> DataFrame:
+    """Reads stored files and their stored PCM back: sizes and SHA-256 of payload, file and PCM, and features of the PCM."""
     kind = dict(df.dtypes)[key]
-    schema = f"`{key}` {kind}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = f"`{key}` {kind}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint, pcm_sha256 string"
 
     def describe(batch: pa.RecordBatch) -> list:
-        rows, keys = [], iter(batch.column(0).to_pylist())
-        for group in _groups(batch.column(1).to_pylist()):
-            files = [read_wav(x) for x in group]
-            for data, f, pcm in zip(group, files, decode(files), strict=True):
-                p = f.payload
-                rows.append((next(keys), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(f.codec, double_rate(pcm))))
+        rows = []
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for own, data, sound in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            data, sound = data.as_py(), sound.as_py()
+            f = read_wav(data)
+            p = f.payload
+            rows.append((own, len(p), sha(p), zlib.crc32(p[-BLOCK:]), len(data), sha(data), feature(f.codec, np.frombuffer(sound, "<i2")), len(sound), sha(sound)))
         return rows
 
-    return by_batch(df.select(key, media), describe, schema)
+    return by_batch(df.select(key, media, pcm), describe, schema)
 
 
 def op1_telephony(documents: DataFrame) -> DataFrame:
-    """Every document's text as stored audio, read back and described; null text is an empty payload."""
-    stored = store(documents.select("doc_id", "text"))
-    found = digests(stored.withColumn("doc_id", F.struct("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))))
+    """Every document's text as stored audio and as stored PCM, read back and described; null text is an empty payload."""
+    named = F.struct("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).alias("doc_id")
+    found = digests(to_pcm(store(documents.select(named, "text")).drop("text")))
     return found.select("doc_id.*", *found.columns[1:])
