@@ -5,11 +5,13 @@ from the longest context that was seen down to single characters (Witten-Bell).
 in `judge` these are the URLs that a rule decides. The log-likelihood difference per character is calibrated on held-out URLs by a
 logistic curve, and URLs with a probability of one half or more are allowed.
 
-Both models count all distinct URLs (host and path) of their class, but for at most HELD_OUT, which calibrate. The counts stay in
+Models read whole URLs, with the host in lower case and without what stands before it. They count all distinct URLs of their class, but for at most HELD_OUT, which calibrate. The counts stay in
 Spark: a model is the table of its runs of ORDER + 1 characters, as shorter contexts are sums over it, and each run that a URL without
 a rule holds gets its log-likelihood difference by joins. The COMMON runs that occur most are broadcast, and the others are joined, so
-no result depends on COMMON. Differences are summed in fixed point, so in any order. With one class or none to learn from, URLs without a rule are allowed with a score of 0.5. Null URLs and those without `://` have an empty host and path;
-repeated rows are judged alike; an empty table gives an empty table; extra columns do not matter.
+no result depends on COMMON. Differences are summed in fixed point, so in any order. With one class or none to learn from, URLs without a
+rule are allowed with a score of 0.5. Null URLs and those without `://` have an empty host and path, and models read nothing or the whole of
+them; rules that fit equally long: the last by name; a score of one half is allowed; repeated rows are judged alike; an empty table gives an empty table.
+Extra columns stay, but for those that the results replace.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialize
+from .common import by_batch, materialize, packed, unpacked
 
 ORDER = 4
 #: Most URLs of a class that calibrate: every fifth, and no more than these. Runs of characters whose difference is broadcast.
@@ -64,6 +66,12 @@ def path_of(url: str = "url") -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def text_of(url: str = "url") -> Column:
+    """What the models read: the URL from its host on, or all of it without ://."""
+    rest = F.regexp_extract(url, r"://[^/?#]*(?s:(.*))", 1)
+    return F.coalesce(F.when(F.instr(url, "://") > 0, F.concat(host_of(url), rest)).otherwise(F.col(url)), F.lit(""))
+
+
 def rule_of(rules: tuple[Rule, ...], host: str = "host", path: str = "path") -> Column:
     """The longest rule that fits, as a struct of its name and verdict; null if none does."""
     out = F.lit(None).cast("struct<name:string,verdict:string>")
@@ -232,26 +240,26 @@ def learn(named: DataFrame) -> tuple[Learned, DataFrame] | None:
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:
     """df with host, path, rule, verdict and score (null where a rule decides)."""
     own = ("host", "path", "rule", "verdict", "score")
-    plain = df.select(*(c for c in df.columns if c not in own))
-    named = plain.select(F.struct(*plain.columns).alias("row"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("fit", rule_of(rules)).withColumn("u", F.concat("host", "path"))
+    plain = [c for c in df.columns if c not in own]
+    named = packed(df, host_of(url).alias("host"), path_of(url).alias("path"), text_of(url).alias("u")).withColumn("fit", rule_of(rules))
     learned = learn(named)
     shared = df.sparkSession.sparkContext.broadcast(learned and learned[0])
     scored = named.join(learned[1], "u", "left") if learned else named.withColumn("rare", F.lit(None).cast("bigint"))
-    flat = scored.select("row", "host", "path", F.col("fit.name").alias("rule"), F.col("fit.verdict").alias("verdict"), "rare")
+    flat = scored.select("row", "host", "path", F.col("fit.name").alias("rule"), F.col("fit.verdict").alias("verdict"), "rare", "u")
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         verdicts, scores = out["verdict"].to_pylist(), []
-        for i, (host, path, rare) in enumerate(zip(*(out[n].to_pylist() for n in ("host", "path", "rare")), strict=True)):
+        for i, (u, rare) in enumerate(zip(out["u"].to_pylist(), out["rare"].to_pylist(), strict=True)):
             score = None
             if verdicts[i] is None:
-                score = shared.value.score(host + path, rare) if shared.value else 0.5
+                score = shared.value.score(u, rare) if shared.value else 0.5
                 verdicts[i] = "allow" if score >= 0.5 else "block"
             scores.append(score)
         return out | {"verdict": verdicts, "score": scores}
 
-    done = by_batch(flat, run, ", ".join(f"`{n}` {t}" for n, t in flat.dtypes if n != "rare") + ", score double")
-    return done.select(*(F.col(f"row.`{c}`").alias(c) for c in plain.columns), *own)
+    done = by_batch(flat, run, ", ".join(f"`{n}` {t}" for n, t in flat.dtypes if n not in ("rare", "u")) + ", score double")
+    return unpacked(done, plain, *own)
 
 
 def op10_urls(pages: DataFrame) -> DataFrame:
