@@ -9,7 +9,8 @@ target is not taken, so a source's taken words equal its target to within one wo
 Running sums over a source go in two levels: documents fall into many hash buckets per source, the small table
 of bucket sums is summed up over buckets, and documents only within their bucket. A source with a third of
 all rows is thus spread over all tasks. Null text has size 0; a null source is a source of its own, last in order;
-an empty table gives an empty table; rows repeated in full take their places one after the other; extra columns do not matter.
+an empty table gives an empty table; rows repeated in full take their places one after the other; extra columns of any name stay. What
+goes through one task is a row for each source, never one for each document.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, materialize, packed, unpacked
 
 #: Weights of the sources in code-point order, repeating, and the most often that a document is taken.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -70,13 +71,12 @@ def due(c: Column, schedule: tuple[float, ...], target: Column) -> Column:
 
 
 def assign(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, schedules: tuple = SCHEDULES) -> DataFrame:
-    """sized (doc_id, source, size and any more) with source_size, target, taken, positions and slot.
+    """sized (key, source, size and row, whatever it is) with source_size, target, taken, positions and slot.
 
     taken counts words over all epochs. positions holds the training time of each pass over the document, and so
     is empty if nothing of it is taken. sized is read twice.
     """
-    columns = sized.columns
-    named = sized.select(F.struct(*columns).alias("row"), "source", "size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("slot"))
+    named = sized.select("row", "source", "size", F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))).alias("slot"))
     named = named.withColumn("bucket", F.substring("slot", 1, BUCKET_DIGITS))
     sums = named.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     t = targets(sums, weights, epochs)
@@ -93,7 +93,7 @@ def assign(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int =
     passes = [F.col("start") + e * F.col("source_size") for e in range(epochs)]
     at = lambda c: F.coalesce(*(F.when(F.col("place") % len(schedules) == j, due(c, s, F.col("target"))) for j, s in enumerate(schedules)))
     times = F.array_compact(F.array(*(F.when((F.col("size") > 0) & (c < F.col("quota")), at(c)) for c in passes)))
-    return x.select(*(F.col(f"row.`{c}`").alias(c) for c in columns), "source_size", "target", "taken", times.alias("positions"), "slot")
+    return x.select("row", "size", "source_size", "target", "taken", times.alias("positions"), "slot")
 
 
 def by_position(assigned: DataFrame) -> DataFrame:
@@ -102,17 +102,16 @@ def by_position(assigned: DataFrame) -> DataFrame:
     return first.orderBy(F.col("position").asc_nulls_last(), "slot")
 
 
-def mixture(documents: DataFrame) -> DataFrame:
+def mixture(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The training stream: documents, one row per pass over each, in the order of their positions; same columns."""
-    assigned = assign(documents.withColumn("size", words()))
-    one = assigned.withColumn("position", F.explode("positions"))
-    return one.orderBy("position", "slot").select(*documents.columns)
+    assigned = assign(packed(documents, F.col(key).alias("key"), F.col(source).alias("source"), words(text).alias("size")))
+    return unpacked(assigned.withColumn("position", F.explode("positions")).orderBy("position", "slot"), documents.columns)
 
 
 def op2_mixing(documents: DataFrame) -> DataFrame:
     """Every document with its size, its source's size and target, and the words that the mix takes of it."""
-    sized = materialize(documents.select("doc_id", "source", words().alias("size")), "sizes")
-    return by_position(assign(sized)).select("doc_id", "size", "source_size", "target", "taken", "position")
+    sized = materialize(documents.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("key"), "source", words().alias("size")), "sizes")
+    return by_position(assign(sized)).select(F.col("row").alias("doc_id"), "size", "source_size", "target", "taken", "position")
 
 
 def _due_sql(c: str, schedule: tuple[float, ...]) -> str:

@@ -336,11 +336,11 @@ def covered(texts: list[str | None], found: pa.ListArray, shard: Reference) -> l
     return out
 
 
-def _cut(df: DataFrame, text: str, fn: Callable[[list[str | None], list[np.ndarray]], dict], schema: str) -> DataFrame:
-    """The columns of df in `row`, and what fn makes of the texts and their covered words."""
+def _cut(df: DataFrame, text: str, keep: list[str], fn: Callable[[list[str | None], list[np.ndarray]], dict], schema: str) -> DataFrame:
+    """The columns to keep in `row`, and what fn makes of the texts and their covered words."""
     shard, found = marks(df.select(text_id(text).alias("key"), F.col(text).alias("text")))
     shared = df.sparkSession.sparkContext.broadcast(shard)
-    named = packed(df, text_id(text).alias("key"), F.col(text).alias("text"))
+    named = packed(df, text_id(text).alias("key"), F.col(text).alias("text"), keep=keep)
     joined = named.join(found.withColumnRenamed("key", "found"), F.col("key") == F.col("found"), "left").select("row", "text", "marks")
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -356,7 +356,7 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     def cut(texts: list[str | None], gone: list[np.ndarray]) -> dict:
         return {"kept": [b" ".join(w for w, g in zip(x.encode().split(), own, strict=True) if not g).decode() if own.any() else x for x, own in zip(texts, gone, strict=True)]}
 
-    return _cut(df, text, cut, "kept string").select(*(F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns))
+    return _cut(df, text, [c for c in df.columns if c != text], cut, "kept string").select(*(F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 
 def op6_substrings(documents: DataFrame) -> DataFrame:
@@ -367,7 +367,7 @@ def op6_substrings(documents: DataFrame) -> DataFrame:
         kept = [[w for w, g in zip(x, own.tolist(), strict=True) if not g] if own.any() else x for x, own in zip(words, gone, strict=True)]
         return {"n_words": [len(x) for x in words], "n_removed": [len(x) - len(y) for x, y in zip(words, kept, strict=True)], "kept_sha256": [hashlib.sha256(b" ".join(x)).hexdigest() for x in kept]}
 
-    found = _cut(documents.select("doc_id", "text"), "text", digest, "n_words bigint, n_removed bigint, kept_sha256 string")
+    found = _cut(documents, "text", ["doc_id"], digest, "n_words bigint, n_removed bigint, kept_sha256 string")
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 

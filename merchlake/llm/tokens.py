@@ -10,8 +10,9 @@ import numpy as np
 #: The tokenizer that packing uses; any works that drops white space and ends the last token of a word with WORD_END.
 TOKENIZER = "word_bpe_49k.json"
 WORD_END = "</w>"
-#: Parts of texts and words remembered by one Python worker, in each of two generations.
-REMEMBERED = 400_000
+#: Parts of texts and words remembered by one Python worker, in each of two generations, and the longest of them in characters; longer ones
+#: are encoded each time.
+REMEMBERED, LONGEST = 400_000, 64
 #: Words encoded by one call.
 TOGETHER = 4000
 _GAP = re.compile(r"[ \t\n\r]+")
@@ -102,7 +103,12 @@ class WordTokenizer:
         for part, (before, word, after) in inside.items():
             young[part] = get(before, b"") + get(word, b"") + get(after, b"")
         find = young.__getitem__
-        return [b"".join(map(find, parts)) for parts in split]
+        out = [b"".join(map(find, parts)) for parts in split]
+        for memory, keys in ((young, new), (known, fresh)):
+            for k in keys:
+                if len(k) > LONGEST:
+                    memory.pop(k, None)
+        return out
 
 
 @cache

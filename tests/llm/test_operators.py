@@ -63,6 +63,9 @@ def test_telephony(docs, rows):
         data = (text or "").encode()
         payload = data + bytes(-len(data) % 64 if data else 64)
         r = got[doc, len(data)]
+        f = telephony.read_wav(telephony.encode_wav(payload, telephony.codec_for(payload)))
+        pcm = telephony.double_rate(telephony.decode([f])[0])
+        assert (r.pcm_bytes, r.pcm_sha256, r.feature) == (2 * len(pcm), hashlib.sha256(pcm.tobytes()).hexdigest(), telephony.feature(f.codec, pcm))
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_bytes > len(payload) and r.feature
     assert len({r.feature for k, r in got.items() if k[0] in (10, 11, 12, 13)}) == 1
@@ -116,6 +119,30 @@ def test_mixing(docs, rows):
     assert sorted(map(rounded, want), key=str) == sorted(map(rounded, map(tuple, got)), key=str)
 
 
+def test_mixture_of_clashing_columns(spark):
+    rows = [(i, f"w{i} " * (i % 7 + 1), "ab"[i % 2], -1, "t", -2.5, [0.5], "s", "r") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size int, target string, taken double, positions array<double>, slot string, source_size string")
+    got = mixing.mixture(df)
+    assert got.columns == df.columns and {tuple(map(str, r)) for r in got.collect()} <= {tuple(map(str, r)) for r in rows}
+
+
+def test_language_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "en", "y"), (2, "ü", "z", "de", "w")], "doc_id bigint, text string, _lang string, lang string, `row` string")
+    out = language.predict(df, language.fit(df))
+    assert out.columns == [*df.columns, "lang_pred", "score"] and sorted(tuple(r)[:5] for r in out.collect()) == sorted(map(tuple, df.collect()))
+
+
+def test_language_of_many_languages(spark, monkeypatch):
+    """Every label can be predicted, however many there are; models shrink their columns and not their languages."""
+    monkeypatch.setattr(language, "WEIGHTS", 1 << 16)
+    monkeypatch.setattr(language, "TRAINED", 400)
+    letters = [chr(0x4E00 + 10 * k) for k in range(60)]
+    df = spark.createDataFrame([(i, " ".join(letters[i % 60] for _ in range(12)), f"l{i % 60}") for i in range(1800)], "doc_id bigint, text string, lang string")
+    got = language.op3_language(df).collect()
+    assert language.columns_for(60) == 1024 and len({r.lang_pred for r in got}) == 60
+    assert sum(r.lang_pred == f"l{r.doc_id % 60}" for r in got if r.held_out) >= 0.97 * sum(r.held_out for r in got)
+
+
 def test_mixture_streams_whole_documents(docs):
     out = mixing.mixture(docs)
     assert out.columns == docs.columns
@@ -588,8 +615,8 @@ def test_urls_learn_from_all(spark, monkeypatch, common):
         monkeypatch.setattr(urls, name, value, raising=False)
     rng = random.Random(10)
     word = lambda: "".join(rng.choices("abcdeé", k=rng.randrange(1, 7)))
-    data = [f"http://{word()}.{host}/{word()}{i}" for i in range(300) for host in ("good.example.net/de", "spam.com/en", "unknown.info/fr")]
-    got = {r.u: r for r in urls.judge(spark.createDataFrame([(u,) for u in data], "url string")).selectExpr("concat(host, path) u", "*", "xxhash64(concat(host, path)) h").collect()}
+    data = [f"http://{word()}.{host}/{word()}{i}{rng.choice(['', '?q=' + word(), '#x'])}" for i in range(300) for host in ("good.example.net/de", "spam.com/en", "unknown.info/fr")]
+    got = {r.u: r for r in urls.judge(spark.createDataFrame([(u,) for u in data], "url string")).selectExpr("substring_index(url, '://', -1) u", "*", "xxhash64(substring_index(url, '://', -1)) h").collect()}
     ruled = [sorted((r for r in got.values() if r.rule == rule), key=lambda r: r.h) for rule in ("net/de/", "com/en/")]
     a, r = (urls.MarkovModel([x.u for x in own[20:]]) for own in ruled)
     plain = urls.Judge(a, r, 1.0, 0.0)
