@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.llm import language, minhash, mixing, packing, secrets
-from merchlake.llm.common import findable, forget, materialize, table
+from merchlake.llm.common import findable, forget, materialize, table, unpacked
 
 #: Documents stay whose language has at least this calibrated probability: short texts full of numbers and addresses reach little more than
 #: chance and are right all the same.
@@ -21,8 +21,8 @@ LEAST_SCORE = 0.3
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier tells; it learns from the labelled documents that are not held out."""
     model = language.fit(docs.where(~language.held_out()))
-    found = language.predict(docs, model, lang="_lang", score="_score")
-    return found.where((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    told = language.predicted(docs, model).where((F.col("lang") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return unpacked(told, docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
