@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, materialize, packed, unpacked
+from .common import by_batch, groups_of, materialize, packed, unpacked
 from .tokens import tokenizer_path, word_tokenizer
 
 CAPACITY = 2048
@@ -35,7 +35,9 @@ END = 0
 GROUP, ISLANDS, POPULATION, EPOCHS, OFFSPRING = 2000, 2, 4, 2, 6
 #: One in so many sequences, the worst-filled, is packed again in the next round, with so many times the offspring; sequences of a group, at
 #: least, on average, so that pieces of one token do not make a group of less than a sequence.
-RELEASED, LATER, LEAST_BINS = 8, 8, 64
+RELEASED, LATER, LEAST_BINS = 8, 2, 64
+#: Characters of texts that are tokenised together, about.
+TOGETHER = 4 << 20
 
 
 def best_fit(sizes: list[int], items: list[int], capacity: int, bins: list[list[int]], loads: list[int]) -> None:
@@ -159,9 +161,9 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
         rows = []
         keys = batch.column(0).to_pylist()
         encoder = word_tokenizer(path)
-        for at in range(0, len(keys), 256):
-            texts = [x or "" for x in batch.column(1).slice(at, 256).to_pylist()]
-            for key, ids in zip(keys[at : at + 256], encoder.encode(texts), strict=True):
+        every = [x or "" for x in batch.column(1).to_pylist()]
+        for part in groups_of(every, TOGETHER):
+            for key, ids in zip(keys[part], encoder.encode(every[part]), strict=True):
                 ids += END.to_bytes(4, "little")
                 for n, start in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[start : start + 4 * capacity]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The tokenizer that packing uses; any works that drops white space and ends the last token of a word with WORD_END.
 TOKENIZER = "word_bpe_49k.json"
@@ -15,7 +18,6 @@ WORD_END = "</w>"
 REMEMBERED, LONGEST = 400_000, 64
 #: Words encoded by one call.
 TOGETHER = 4000
-_GAP = re.compile(r"[ \t\n\r]+")
 _PUNCTUATION = r"[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*"  # nothing that could be part of a contraction or a special token
 _PART = re.compile(rf"({_PUNCTUATION})([^\W\d_]+)({_PUNCTUATION})")
 
@@ -32,7 +34,7 @@ class Memory:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
+    def missing(self, keys: Collection[str]) -> list[str]:
         """Those that must be computed; makes room for all, so `young` holds the rest."""
         if len(self.young) + len(keys) > self.most:
             self.old, self.young = self.young, {}
@@ -79,9 +81,11 @@ class WordTokenizer:
                 begin = end
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_GAP.split(x) for x in texts]
-        new = self.parts.missing({w for parts in split for w in parts})
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts."""
+        plain = list(map(str.isalpha, parts))
+        mixed = [p for p, x in zip(parts, plain, strict=True) if not x]
+        new = self.parts.missing(mixed)
         inside: dict[str, tuple[str, str, str]] = {}
         other = []
         for part in new:
@@ -89,27 +93,44 @@ class WordTokenizer:
                 inside[part] = m.groups()
             elif part:
                 other.append(part)
-        pieces = {p for three in inside.values() for p in three if p}
-        fresh = self.words.missing(pieces)
-        known = self.words.young
+        wanted = {p for three in inside.values() for p in three if p}
+        wanted.update(p for p, x in zip(parts, plain, strict=True) if x)
+        fresh = self.words.missing(wanted)
+        known, young = self.words.young, self.parts.young
         letters = [p for p in fresh if p.isalpha()]
         signs = [p for p in fresh if not p.isalpha()]
         known.update(zip(letters, self._encode_words(letters), strict=True))
         known.update(zip(signs, self._direct(signs), strict=True))
-        young = self.parts.young
         young[""] = b""
         young.update(zip(other, self._direct(other), strict=True))
         get = known.get
         for part, (before, word, after) in inside.items():
             young[part] = get(before, b"") + get(word, b"") + get(after, b"")
-        find = young.__getitem__
-        out = [b"".join(map(find, parts)) for parts in split]
+        out = [known[p] if x else young[p] for p, x in zip(parts, plain, strict=True)]
         for memory, keys in ((young, new), (known, fresh)):
             for k in keys:
                 if len(k) > LONGEST:
                     memory.pop(k, None)
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each distinct part is looked up once, and the ids of all parts are gathered from there."""
+        plain = pa.array([x.replace("\n", " ").replace("\t", " ").replace("\r", " ") for x in texts], pa.large_string())
+        split = pc.split_pattern(plain, " ")
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        ids = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(ids), "<u4")
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        gathered = data[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))]
+        return [gathered[a:b].tobytes() for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
 
 @cache
 def word_tokenizer(path: str) -> WordTokenizer:
