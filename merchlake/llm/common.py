@@ -1,10 +1,8 @@
-"""What the corpus operators share: tables, Arrow batches, written intermediates and word hashing."""
+"""What the corpus operators share: tables, Arrow batches and word hashing."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import forget, materialize, shared_dir  # noqa: F401
+
 #: What separates words: the bytes 0x20 and 0x09 to 0x0D; everything else belongs to a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -34,34 +34,6 @@ def findable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. Only a local session may do without one: elsewhere every machine has its own
-    temporary folder, and later reads would miss files."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (found or tempfile.gettempdir() + "/merchlake").rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Deletes the folders of tables that materialize() returned; nothing may lazily depend on them any more."""
-    for df in frames:
-        if written := df.__dict__.get("_written"):
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(written)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def packed(df: DataFrame, *more: Column, keep: list[str] | None = None) -> DataFrame:
     """All of df's columns, or those to keep, in one called `row`, so that none clashes with the operator's own, and any others."""
     columns = df.columns if keep is None else keep
