@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.llm import language, minhash, mixing, packing, secrets
-from merchlake.llm.common import findable, forget, materialize, table, unpacked
+from merchlake.llm.common import findable, table, unpacked
+from merchlake.shared import forget, materialize, scratch
 
 #: Documents stay whose language has at least this calibrated probability: short texts full of numbers and addresses reach little more than
 #: chance and are right all the same.
@@ -58,11 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what the stages between have written is deleted as soon as the next has been."""
+    """The last stage's rows; what a stage and its operators have written is deleted as soon as the next one has been."""
     findable(spark)
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        if k:
-            forget(before)
+    for name, stage in STAGES:
+        before = docs
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        forget(before)
     return docs
