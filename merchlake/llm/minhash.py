@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 #: Members of a bucket that meet in one block, and their shingles, about.
-BLOCK, BLOCK_ITEMS = 1024, 1 << 22
+BLOCK, BLOCK_ITEMS = 512, 1 << 22
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
