@@ -45,8 +45,8 @@ def unpacked(df: DataFrame, columns: list[str], *more: Column | str) -> DataFram
     return df.select(*(F.col(f"row.`{c}`").alias(c) for c in columns), *more)
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], list | dict], schema: str) -> DataFrame:
-    """Runs fn on every Arrow batch; it returns a list of row tuples or a dict of columns."""
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], list | dict | Iterator[list | dict]], schema: str) -> DataFrame:
+    """Runs fn on every Arrow batch; it returns a list of row tuples or a dict of columns, or yields some of these one after the other."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -55,7 +55,9 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], list | dict], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from record_batches(fn(batch), arrow)
+                out = fn(batch)
+                for part in (out,) if isinstance(out, (list, dict)) else out:
+                    yield from record_batches(part, arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -12,14 +12,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, groups_of
 
 RATE = 8000
 BLOCK = 64
@@ -70,7 +70,7 @@ def pad(payload: bytes) -> bytes:
 
 def codec_for(payload: bytes) -> str:
     """Which format stores a payload: by its checksum, so equal payloads share one."""
-    return sorted(FORMATS)[zlib.crc32(payload) % 3]
+    return sorted(FORMATS)[hashlib.sha256(payload).digest()[0] % 3]
 
 
 def encode_wav(payload: bytes, codec: str) -> bytes:
@@ -154,7 +154,7 @@ def feature(codec: str, pcm: np.ndarray) -> str:
     return f"{codec}:{len(pcm)}:{int(size.sum()) // max(1, len(pcm))}:{int(size.max(initial=0))}:{turns}"
 
 
-def _groups(media: list[bytes]):
+def _groups(media: list[bytes]) -> Iterator[slice]:
     """Runs of files of about GROUP_BYTES together."""
     at = 0
     while at < len(media):
@@ -162,18 +162,41 @@ def _groups(media: list[bytes]):
         while end < len(media) and (end == at or size + len(media[end]) <= GROUP_BYTES):
             size += len(media[end])
             end += 1
-        yield media[at:end]
+        yield slice(at, end)
         at = end
 
 
+def stored(text: str | None) -> bytes:
+    """A text's UTF-8 bytes, padded, as a WAV file in the format of codec_for."""
+    payload = pad((text or "").encode("utf-8", "surrogatepass"))
+    return encode_wav(payload, codec_for(payload))
+
+
+def resampled(media: list[bytes | None]) -> list[bytes | None]:
+    """16-bit little-endian PCM at twice the rate of each file."""
+    full = [i for i, x in enumerate(media) if x]
+    done = dict(zip(full, decode([read_wav(media[i]) for i in full]), strict=True))
+    return [double_rate(done[i]).tobytes() if i in done else None for i in range(len(media))]
+
+
+def digest(media: bytes, pcm: bytes) -> tuple:
+    """What a stored file and its stored PCM hold: sizes and SHA-256 of payload, file and PCM, the payload's last CRC-32, and features."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    f = read_wav(media)
+    p = f.payload
+    return len(p), sha(p), zlib.crc32(p[-BLOCK:]), len(media), sha(media), feature(f.codec, np.frombuffer(pcm, "<i2")), len(pcm), sha(pcm)
+
+
+_DIGEST = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint, pcm_sha256 string"
+
+
 def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """Adds the column `media`: each text's UTF-8 bytes, padded, as a WAV file in the format of codec_for."""
+    """Adds the column `media`: each text as a stored file."""
     schema = f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes if n != media)}, `{media}` binary"
 
     def add(batch: pa.RecordBatch) -> dict:
         own = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        payloads = (pad((x or "").encode("utf-8", "surrogatepass")) for x in own[text].to_pylist())
-        return own | {media: [encode_wav(x, codec_for(x)) for x in payloads]}
+        return own | {media: [stored(x) for x in own[text].to_pylist()]}
 
     return by_batch(df, add, schema)
 
@@ -182,38 +205,79 @@ def to_pcm(df: DataFrame, media: str = "media", pcm: str = "pcm") -> DataFrame:
     """Adds the column `pcm`: 16-bit little-endian PCM at twice the file's rate; null where media is null."""
     schema = f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes if n != pcm)}, `{pcm}` binary"
 
-    def add(batch: pa.RecordBatch) -> dict:
-        own = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        out = []
-        for group in _groups([x or b"" for x in own[media].to_pylist()]):
-            full = [i for i, x in enumerate(group) if x]
-            done = dict(zip(full, decode([read_wav(group[i]) for i in full]), strict=True))
-            out += [double_rate(done[i]).tobytes() if i in done else None for i in range(len(group))]
-        return own | {pcm: out}
+    def add(batch: pa.RecordBatch) -> Iterator[dict]:
+        files = [x or b"" for x in batch.column(batch.schema.get_field_index(media)).to_pylist()]
+        for part in _groups(files):  # batches of few rows, as PCM is several times as large
+            some = batch.slice(part.start, part.stop - part.start)
+            yield {n: some.column(i) for i, n in enumerate(some.schema.names)} | {pcm: resampled(files[part])}
 
     return by_batch(df, add, schema)
 
 
 def digests(df: DataFrame, key: str = "doc_id", media: str = "media", pcm: str = "pcm") -> DataFrame:
-    """Reads stored files and their stored PCM back: sizes and SHA-256 of payload, file and PCM, and features of the PCM."""
-    kind = dict(df.dtypes)[key]
-    schema = f"`{key}` {kind}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint, pcm_sha256 string"
+    """Reads stored files and their stored PCM back and describes them."""
 
     def describe(batch: pa.RecordBatch) -> list:
-        rows = []
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for own, data, sound in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            data, sound = data.as_py(), sound.as_py()
-            f = read_wav(data)
-            p = f.payload
-            rows.append((own, len(p), sha(p), zlib.crc32(p[-BLOCK:]), len(data), sha(data), feature(f.codec, np.frombuffer(sound, "<i2")), len(sound), sha(sound)))
-        return rows
+        return [(own, *digest(data.as_py(), sound.as_py())) for own, data, sound in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)]
 
-    return by_batch(df.select(key, media, pcm), describe, schema)
+    return by_batch(df.select(key, media, pcm), describe, f"`{key}` {dict(df.dtypes)[key]}, {_DIGEST}")
 
 
 def op1_telephony(documents: DataFrame) -> DataFrame:
-    """Every document's text as stored audio and as stored PCM, read back and described; null text is an empty payload."""
-    named = F.struct("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).alias("doc_id")
-    found = digests(to_pcm(store(documents.select(named, "text")).drop("text")))
-    return found.select("doc_id.*", *found.columns[1:])
+    """Every document's text as stored audio and as stored PCM, read back and described; null text is an empty payload.
+
+    The same as digests(to_pcm(store(documents))) in one pass: a group of files is stored, resampled and read back before the next one, so
+    that a task holds the PCM of one group only.
+    """
+
+    def run(batch: pa.RecordBatch) -> Iterator[list]:
+        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for part in groups_of(texts):
+            files = [stored(x) for x in texts[part]]
+            yield [(key, len((text or "").encode("utf-8", "surrogatepass")), *digest(data, pcm)) for key, text, data, pcm in zip(keys[part], texts[part], files, resampled(files), strict=True)]
+
+    return by_batch(documents.select("doc_id", "text"), run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes bigint, {_DIGEST}")
+
+
+def _le(value: str, size: int) -> str:
+    """SQL for the hexadecimal digits of a little-endian number."""
+    return " || ".join(f"printf('%02X', ({value} >> {8 * k}) & 255)" for k in range(size))
+
+
+_CLIP = "greatest(-32768, least(32767, {}))"
+#: The same by arithmetic on lists of bytes and samples.
+ORACLE_SQL = f"""
+WITH step AS (SELECT {STEPS.tolist()} AS steps, {INDEX_CHANGE.tolist()} AS changes,
+  list_transform(range(256), lambda n : list_reduce(range(8), lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crcs),
+d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+p AS (SELECT r, doc_id, len(t) // 2 AS n_bytes, t || repeat('00', CASE WHEN t = '' THEN 64 ELSE ((64 - (len(t) // 2) % 64) % 64)::INT END) AS h FROM d),
+s AS (SELECT *, len(h) // 2 AS n, sha256(unhex(h)) AS sha FROM p),
+c AS (SELECT *, (16 * (strpos('0123456789abcdef', sha[1]) - 1) + strpos('0123456789abcdef', sha[2]) - 1) % 3 AS kind,
+  list_transform(regexp_extract_all(h, '..'), lambda x : ('0x' || x)::BIGINT) AS bytes FROM s),
+f AS (SELECT *, CASE kind WHEN 0 THEN {_le(str(FORMATS["adpcm"]), 2)} WHEN 1 THEN {_le(str(FORMATS["alaw"]), 2)} ELSE {_le(str(FORMATS["mulaw"]), 2)} END || {_le("1", 2)} || {_le(str(RATE), 4)}
+  || CASE WHEN kind = 0 THEN {_le(str(RATE * BLOCK // (2 * (BLOCK - 4) + 1)), 4)} || {_le(str(BLOCK), 2)} || {_le("4", 2)} || {_le("2", 2)} || {_le(str(2 * (BLOCK - 4) + 1), 2)}
+     ELSE {_le(str(RATE), 4)} || {_le("1", 2)} || {_le("8", 2)} || {_le("0", 2)} END AS fmt FROM c),
+m AS (SELECT *, hex(encode('WAVEfmt ')) || {_le("(len(fmt) // 2)", 4)} || fmt || hex(encode('data')) || {_le("n", 4)} || h AS body FROM f),
+block AS (SELECT r, k, bytes[64 * k + 1:64 * k + 64] AS b FROM c, unnest(range(0, n // 64)) u(k) WHERE kind = 0),
+start AS (SELECT r, k, CASE WHEN b[2] > 127 THEN b[1] + 256 * b[2] - 65536 ELSE b[1] + 256 * b[2] END::BIGINT AS first, least(b[3], 88)::BIGINT AS idx,
+  flatten(list_transform(b[5:64], lambda x : [x % 16, x // 16])) AS nibbles FROM block),
+coded AS (SELECT r, k, list_reduce(nibbles, lambda a, x : {{'s': {_CLIP.format(
+    "a.s + (CASE WHEN x >= 8 THEN -1 ELSE 1 END) * ((steps[a.i + 1] >> 3) + (x & 1) * (steps[a.i + 1] >> 2) + ((x >> 1) & 1) * (steps[a.i + 1] >> 1) + ((x >> 2) & 1) * steps[a.i + 1])")},
+  'i': greatest(0, least(88, a.i + changes[(x & 7) + 1])), 'o': list_append(a.o, {_CLIP.format(
+    "a.s + (CASE WHEN x >= 8 THEN -1 ELSE 1 END) * ((steps[a.i + 1] >> 3) + (x & 1) * (steps[a.i + 1] >> 2) + ((x >> 1) & 1) * (steps[a.i + 1] >> 1) + ((x >> 2) & 1) * steps[a.i + 1])")})}},
+  {{'s': first, 'i': idx, 'o': [first]}}).o AS o FROM start, step),
+joined AS (SELECT r, flatten(list(o ORDER BY k)) AS x FROM coded GROUP BY r),
+linear AS (SELECT c.r, CASE kind WHEN 0 THEN x
+  WHEN 1 THEN list_transform(bytes, lambda b : CASE WHEN xor(b, 85) & 128 = 128 THEN 1 ELSE -1 END * CASE WHEN (xor(b, 85) >> 4) & 7 = 0 THEN ((xor(b, 85) & 15) << 4) + 8 ELSE (((xor(b, 85) & 15) << 4) + 264) << (((xor(b, 85) >> 4) & 7) - 1) END)
+  ELSE list_transform(bytes, lambda b : CASE WHEN (255 - b) & 128 = 128 THEN -1 ELSE 1 END * ((((((255 - b) & 15) << 3) + 132) << (((255 - b) >> 4) & 7)) - 132)) END AS x
+  FROM c LEFT JOIN joined USING (r)),
+pcm AS (SELECT r, flatten(list_transform(range(1, len(x) + 1), lambda i : [x[i], {_CLIP.format("floor((9 * (x[i] + x[least(i + 1, len(x))]) - x[greatest(i - 1, 1)] - x[least(i + 2, len(x))] + 8) / 16)::BIGINT")}])) AS y FROM linear),
+told AS (SELECT r, y, array_to_string(list_transform(y, lambda v : printf('%04X', ((v & 255) << 8) + ((v >> 8) & 255))), '') AS yh FROM pcm)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha AS payload_sha256,
+  xor(list_reduce(bytes[n - 63:n], lambda a, b : xor(a >> 8, crcs[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS tail_crc32,
+  len(body) // 2 + 8 AS media_bytes, sha256(unhex(hex(encode('RIFF')) || {_le("(len(body) // 2)", 4)} || body)) AS media_sha256,
+  ['adpcm', 'alaw', 'mulaw'][kind + 1] || ':' || len(y) || ':' || list_sum(list_transform(y, lambda v : abs(v)))::BIGINT // len(y) || ':' || list_max(list_transform(y, lambda v : abs(v))) || ':'
+    || len(list_filter(range(1, len(y)), lambda i : (y[i] < 0) <> (y[i + 1] < 0))) AS feature,
+  2 * len(y) AS pcm_bytes, sha256(unhex(yh)) AS pcm_sha256
+FROM m JOIN told USING (r), step
+"""
