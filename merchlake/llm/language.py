@@ -207,10 +207,13 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
 def predicted(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """All columns of df, or those to keep, in `row`, and lang and score beside it."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    named = packed(df, F.col(text).alias("text"), keep=keep)
+    kept = df.columns if keep is None else keep
+    place = kept.index(text) if text in kept else None  # then the text travels in the row only
+    named = packed(df, *([] if place is not None else [F.col(text).alias("text")]), keep=kept)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [shared.value.predict(x.as_py()) for x in batch.column(1)]
+        texts = batch.column(1) if place is None else batch.column(0).field(place)
+        found = [shared.value.predict(x.as_py()) for x in texts]
         return {"row": batch.column(0), "lang": [x[0] for x in found], "score": [x[1] for x in found]}
 
     return by_batch(named, run, f"row {dict(named.dtypes)['row']}, lang string, score double")

@@ -15,7 +15,7 @@ TOKENIZER = "word_bpe_49k.json"
 WORD_END = "</w>"
 #: Parts of texts and words remembered by one Python worker, in each of two generations, and the longest of them in characters; longer ones
 #: are encoded each time.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Words encoded by one call.
 TOGETHER = 4000
 _PUNCTUATION = r"[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*"  # nothing that could be part of a contraction or a special token
