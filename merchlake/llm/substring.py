@@ -203,7 +203,8 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (key, anchor, segment, first, owned, n, shards) with the segments' word hashes, from the texts."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "segment", "first", "owned", "n", "shards")).alias("want"))
+    # Written, so that copies of one text can be split in the join; each of them gives the same segments, which are told apart later.
+    lists = materialize(wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "segment", "first", "owned", "n", "shards")).alias("want")), "wanted")
     arrow = _arrow(schema := "anchor bigint, segment bigint, n bigint, shards int, words array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
