@@ -70,7 +70,14 @@ def due(c: Column, schedule: tuple[float, ...], target: Column) -> Column:
     return out
 
 
-def assign(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, schedules: tuple = SCHEDULES) -> DataFrame:
+def assign(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size") -> DataFrame:
+    """sized with source_size, target, taken, positions and slot, in place of columns of these names."""
+    own = ("source_size", "target", "taken", "positions", "slot")
+    named = packed(sized, F.col(key).alias("key"), F.col(source).alias("source"), F.col(size).alias("size"))
+    return unpacked(assigned(named), [c for c in sized.columns if c not in own], *own)
+
+
+def assigned(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, schedules: tuple = SCHEDULES) -> DataFrame:
     """sized (key, source, size and row, whatever it is) with source_size, target, taken, positions and slot.
 
     taken counts words over all epochs. positions holds the training time of each pass over the document, and so
@@ -96,22 +103,22 @@ def assign(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int =
     return x.select("row", "size", "source_size", "target", "taken", times.alias("positions"), "slot")
 
 
-def by_position(assigned: DataFrame) -> DataFrame:
+def by_position(placed: DataFrame) -> DataFrame:
     """Range-sorts documents by their first training position; those that are not taken come last."""
-    first = assigned.withColumn("position", F.try_element_at("positions", F.lit(1)))
+    first = placed.withColumn("position", F.try_element_at("positions", F.lit(1)))
     return first.orderBy(F.col("position").asc_nulls_last(), "slot")
 
 
 def mixture(documents: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The training stream: documents, one row per pass over each, in the order of their positions; same columns."""
-    assigned = assign(packed(documents, F.col(key).alias("key"), F.col(source).alias("source"), words(text).alias("size")))
-    return unpacked(assigned.withColumn("position", F.explode("positions")).orderBy("position", "slot"), documents.columns)
+    placed = assigned(packed(documents, F.col(key).alias("key"), F.col(source).alias("source"), words(text).alias("size")))
+    return unpacked(placed.withColumn("position", F.explode("positions")).orderBy("position", "slot"), documents.columns)
 
 
 def op2_mixing(documents: DataFrame) -> DataFrame:
     """Every document with its size, its source's size and target, and the words that the mix takes of it."""
     sized = materialize(documents.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("key"), "source", words().alias("size")), "sizes")
-    return by_position(assign(sized)).select(F.col("row").alias("doc_id"), "size", "source_size", "target", "taken", "position")
+    return by_position(assigned(sized)).select(F.col("row").alias("doc_id"), "size", "source_size", "target", "taken", "position")
 
 
 def _due_sql(c: str, schedule: tuple[float, ...]) -> str:

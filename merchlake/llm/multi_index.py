@@ -32,7 +32,7 @@ THRESHOLD = 0.9
 #: Vectors that fit the codebooks and the number of cells to visit; vectors per cell, about; most entries of a codebook.
 SAMPLE, PER_CELL, MOST_ENTRIES = 8192, 40, 2048
 #: Vectors of the sample for each entry of a codebook, where SAMPLE is fewer. Vectors of a less common length that need no index.
-PER_ENTRY, FEW = 16, 1024
+PER_ENTRY, FEW = 16, 16_384
 #: Share of the queries' links that the visited cells must hold, and the fewest and most cells.
 TARGET, LEAST_VISITS, MOST_VISITS = 0.999, 3, 512
 #: Queries that measure the visits; those with links that are enough, else so many made-up links; links of a query tried in one block.

@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE_SQL, "op4_near_duplicates": minhash.ORACLE_SQL, "op6_substrings": substring.ORACLE_SQL, "op7_embeddings": multi_index.ORACLE_SQL}
+    return {"op1_telephony": telephony.ORACLE_SQL, "op2_mixing": mixing.ORACLE_SQL, "op4_near_duplicates": minhash.ORACLE_SQL, "op6_substrings": substring.ORACLE_SQL, "op7_embeddings": multi_index.ORACLE_SQL, "op8_secrets": secrets.ORACLE_SQL}

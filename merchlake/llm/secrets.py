@@ -146,3 +146,42 @@ def op8_secrets(documents: DataFrame) -> DataFrame:
         return rows
 
     return by_batch(spans(documents), describe, schema)
+
+
+def _spans_sql(kind: str, pattern: str, fits: str) -> str:
+    """SQL for the matches of a pattern (with {1} for the whole match) that fit: every match is put between two marks, and the lengths of what
+    stands before add up to its place."""
+    return f"""SELECT r, '{kind}' AS kind, pos, pos + length(x) AS stop FROM (
+      SELECT r, i, split_part(part, mark2, 1) AS x, i > 1 AS hit, coalesce(sum(length(replace(part, mark2, ''))) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, mark2, crcs
+      FROM (SELECT r, mark2, crcs, unnest(string_split(regexp_replace(text, '({pattern})', mark1 || '\\1' || mark2, 'g'), mark1)) AS part, generate_subscripts(string_split(regexp_replace(text, '({pattern})', mark1 || '\\1' || mark2, 'g'), mark1), 1) AS i FROM d))
+    WHERE hit AND {fits}"""
+
+
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+_NAME_SQL = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?"""
+
+
+def _crc_sql(prefix: int) -> str:
+    """Whether a token of a prefix, 30 characters and six more ends in the CRC-32 of the 30 in base 62."""
+    crc = f"xor(list_reduce(list_transform(range({prefix + 1}, {prefix + 31}), lambda k : ord(substr(x, k, 1))::BIGINT), lambda a, b : xor(a >> 8, crcs[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+    digits = " || ".join(f"substr('{_DIGITS}', (({crc} // {62**k}) % 62 + 1)::BIGINT, 1)" for k in range(5, -1, -1))
+    return f"length(x) = {prefix + 36} AND {digits} = substr(x, {prefix + 31})"
+
+
+#: Patterns without keywords before them. Runs of letters and digits that are longer than a token hold none.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, chr(57344) AS mark1, chr(57345) AS mark2,
+  list_transform(range(256), lambda n : list_reduce(range(8), lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crcs FROM documents),
+found AS (
+  {_spans_sql("assign", _NAME_SQL + _VALUE, f"length(regexp_extract(x, '^{_NAME_SQL}({_VALUE})$', 1)) >= 12")}
+  UNION ALL {_spans_sql("access", "AKIA[A-Z0-9]+", "length(x) >= 18")}
+  UNION ALL {_spans_sql("hex", "[0-9a-f]+", "length(x) >= 16")}
+  UNION ALL {_spans_sql("forge", "gh[pousr]_[A-Za-z0-9]+", _crc_sql(4))}
+  UNION ALL {_spans_sql("package", "npm_[A-Za-z0-9]+", _crc_sql(4))}),
+named AS (SELECT *, kind || ':' || pos || ':' || stop AS span, list_position({list(KINDS)}, kind) AS place FROM found),
+told AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY pos, place) FILTER (place <= 3) AS base, string_agg(span, ',' ORDER BY pos, place) AS spans FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (r)
+"""

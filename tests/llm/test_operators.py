@@ -94,10 +94,21 @@ def test_telephony_codecs():
     assert telephony.double_rate(np.array([5, 5, 5, 5], np.int16)).tolist() == [5] * 8
 
 
+def test_telephony_and_secrets_sql(spark, docs):
+    con = duckdb.connect()
+    few = docs.where("length(text) < 3000 OR text IS NULL")
+    con.register("documents", few.select("doc_id", "text").toArrow())
+    for op, sql in ((telephony.op1_telephony, telephony.ORACLE_SQL), (secrets.op8_secrets, secrets.ORACLE_SQL)):
+        got = op(few)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall(), key=str)
+
+
 def test_telephony_columns(spark, docs):
     pcm = telephony.to_pcm(telephony.store(docs.where("doc_id IN (1, 3, 10, 50)")))
     assert {"media", "pcm", "key", "size"} <= set(pcm.columns)
     assert all(len(r.pcm) >= 2 * len(r.media) - 200 for r in pcm.collect())
+    apart = telephony.digests(telephony.to_pcm(telephony.store(docs))).collect()
+    assert sorted(map(tuple, apart), key=str) == sorted((tuple(r)[:1] + tuple(r)[2:] for r in telephony.op1_telephony(docs).collect()), key=str)
 
 
 def test_mixing(docs, rows):
